@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, url_lists
+from . import fingerprints, pii, quality, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,17 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.evaluate(pages.select("page_id", "url", day.alias("fetched_at")), _dated_list(pages))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
 }
