@@ -24,5 +24,5 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_partitions(df: DataFrame, mb: float, least: int = 1) -> int:
     """How many partitions of about ``mb`` MB the optimiser's size estimate of ``df`` comes to; no job runs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(least, -(-size // int(mb * 1e6))), 1_000_000))

@@ -116,12 +116,20 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES):
         row = stop
 
 
-def windows(table: Words, width: int, hashes: np.ndarray | None = None, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of every run of ``width`` words of one document."""
-    hashes = table.word_hashes() if hashes is None else hashes
+def runs(hashes: np.ndarray, offsets: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every run of ``width`` words of one document; offsets: first word of each document."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    doc = table.doc_of_word
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     first = np.flatnonzero(doc[:n] == doc[width - 1 :])
     return first, range_hash(hashes, first, first + width, which)
+
+
+def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a string column, and the first word of each row."""
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, t in chunks(column):
+        parts.append(t.word_hashes())
+        counts.append(np.diff(t.offsets))
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
