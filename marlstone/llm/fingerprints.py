@@ -71,15 +71,13 @@ def fingerprint(texts: DataFrame, text_col: str = "text", bucket_of=_bucket) ->
     return _numbered(mine, numbers, "__fp_bucket", "__fp_canon", "fingerprint").drop("__fp_bucket", "__fp_canon")
 
 
-def collisions(rows: DataFrame, buckets: DataFrame) -> DataFrame | None:
+def collisions(rows: DataFrame, buckets: DataFrame, shared: DataFrame | None = None) -> DataFrame | None:
     """Numbers of different texts that share a bucket, or None if there are none.
 
     rows: ``bucket, canon``; buckets: the ``bucket`` column of the same rows, given
     apart as it can often be had without the texts.
     """
-    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    small = shared.count() * _BUCKET_BYTES <= BROADCAST_BYTES
-    members = rows.join(F.broadcast(shared) if small else shared, "bucket", "left_semi")
+    members = _few_join(rows, _shared(buckets) if shared is None else shared)
     texts = members.groupBy("bucket", "canon").agg(F.count(F.lit(1)).alias("n"))
     mixed = cut(texts.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("bucket"))
     if not mixed.take(1):
@@ -88,6 +86,16 @@ def collisions(rows: DataFrame, buckets: DataFrame) -> DataFrame | None:
     return texts.join(mixed, "bucket").select("bucket", "canon", F.row_number().over(order).alias("number"))
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    return cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+
+
+def _few_join(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of a shared bucket; the buckets are broadcast if a count shows that they are few."""
+    small = shared.count() * _BUCKET_BYTES <= BROADCAST_BYTES
+    return rows.join(F.broadcast(shared) if small else shared, "bucket", "left_semi")
+
+
 def _numbered(rows: DataFrame, numbers: DataFrame | None, bucket: str, canon: str, name: str) -> DataFrame:
     if numbers is None:
         return rows.withColumn(name, F.col(bucket))
@@ -136,20 +144,54 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     near_edited, near_next``.  A digest is alike (1.0) or not (0.0), as equal
     fingerprints mean equal canonical texts.  Null texts are empty; columns other
     than ``doc_id`` and ``text`` are ignored; repeated rows give repeated results.
+
+    Texts are shuffled once, to meet their successors; what leaves that stage has
+    no texts.  The comparison of bytes inside shared buckets reads them again, but
+    only of the members: own texts from the scan, edited texts by (id, raw hash)
+    of the two documents they are made of.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", digest(F.col("text")))
-    pairs = with_next(base, ["text", "bucket"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    pairs = pairs.withColumn("edited_bucket", digest(F.col("edited")))
-    like_next = F.when(F.col("bucket") == F.col("next_bucket"), (canonical(F.col("text")) == canonical(F.col("next_text"))).cast("double")).otherwise(0.0)
-    found = {"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256), "near_next": like_next}
-    sheet = cut(pairs.select("doc_id", "bucket", "edited_bucket", *[c.alias(k) for k, c in found.items()]))
-    both = F.array(F.struct("bucket", F.col("text").alias("body")), F.struct(F.col("edited_bucket").alias("bucket"), F.col("edited").alias("body")))
-    stacked = pairs.select(F.inline(both)).select("bucket", canonical(F.col("body")).alias("canon"))
-    buckets = sheet.select(F.explode(F.array("bucket", "edited_bucket")).alias("bucket"))
-    numbers = collisions(stacked, buckets)
-    out = sheet
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("raw"))
+    pairs = with_next(base.withColumns({"bucket": digest(F.col("text")), "id": F.col("doc_id")}), ["text", "raw", "bucket", "id"])
+    pairs = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_bucket", digest(F.col("edited")))
+    like_next = F.when(F.col("bucket") == F.col("next_bucket"), canonical(F.col("text")) == canonical(F.col("next_text"))).otherwise(False)
+    unchanged = F.when(F.col("bucket") == F.col("edited_bucket"), canonical(F.col("text")) == canonical(F.col("edited"))).otherwise(False)
+    keys = ["doc_id", "raw", "next_id", "next_raw"]
+    sheet = cut(pairs.select(
+        *keys, "bucket", "edited_bucket", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        like_next.cast("double").alias("near_next"), unchanged.alias("unchanged"),
+    ))
+    other = F.when(~F.col("unchanged"), F.col("edited_bucket"))
+    buckets = sheet.select(F.explode(F.array("bucket", other)).alias("bucket")).where("bucket IS NOT NULL")
+    own = base.select("doc_id", "raw", digest(F.col("text")).alias("bucket"), canonical(F.col("text")).alias("canon"))
+    shared = _shared(buckets)
+    made = _few_join(sheet.where(~F.col("unchanged")).withColumnRenamed("bucket", "own_bucket").withColumnRenamed("edited_bucket", "bucket"), shared)
+    made = _edited_texts(base, made.select(*keys, "bucket").distinct())
+    numbers = collisions(own.select("bucket", "canon").unionByName(made.select("bucket", "canon")), buckets, shared)
+    out = sheet.withColumns({"fingerprint": F.col("bucket"), "edited_fingerprint": F.col("edited_bucket")})
     if numbers is not None:
-        out = pairs.withColumns(found).withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited"))})
-    out = _numbered(_numbered(out, numbers, "bucket", "canon", "fingerprint"), numbers, "edited_bucket", "edited_canon", "edited_fingerprint")
+        suffix = lambda n: F.when(F.col(n) > 1, F.concat(F.lit("-"), F.col(n).cast("string"))).otherwise("")
+        mine = own.join(numbers, ["bucket", "canon"]).select("doc_id", "raw", F.col("number").alias("own_number")).distinct()
+        theirs = made.join(numbers, ["bucket", "canon"]).select(*keys, F.col("number").alias("made_number")).distinct()
+        out = _null_safe_left(_null_safe_left(out, mine, ["doc_id", "raw"]), theirs, keys)
+        out = out.withColumn("made_number", F.when(F.col("unchanged"), F.col("own_number")).otherwise(F.col("made_number")))
+        out = out.withColumns({"fingerprint": F.concat("bucket", suffix("own_number")), "edited_fingerprint": F.concat("edited_bucket", suffix("made_number"))})
     near = (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), "near_next")
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+
+
+def _edited_texts(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with ``canon``, the canonical edited text of each."""
+    edges = cut(edges)
+    ids = edges.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()
+    near = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+    texts = base.join(near, base["doc_id"].eqNullSafe(near["id"]), "left_semi")
+    first = texts.select(F.col("doc_id").alias("d1"), F.col("raw").alias("r1"), F.col("text").alias("t1")).distinct()
+    second = texts.select(F.col("doc_id").alias("d2"), F.col("raw").alias("r2"), F.col("text").alias("t2")).distinct()
+    both = edges.join(first, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("raw") == F.col("r1"))).join(second, F.col("next_id").eqNullSafe(F.col("d2")) & (F.col("next_raw") == F.col("r2")))
+    return both.select(*edges.columns, canonical(edited(F.col("t1"), F.col("t2"))).alias("canon"))
