@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, pii, quality, substring_dedup, url_lists
+from . import fingerprints, langid, pii, quality, substring_dedup, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
+    return langid.predict(docs, net).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
@@ -61,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
 }
