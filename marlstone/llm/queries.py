@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, pieces, pii, quality, substring_dedup, url_lists
+from . import fingerprints, langid, mixing, pieces, pii, quality, substring_dedup, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+#: The mix of op6 and of the pipeline: 97 % of the entropy of equal weights, no source more than four times.
+MIX = mixing.Target(evenness=0.97, repeats=4.0)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, MIX).select("doc_id", "source", "n_tokens", "copies")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
