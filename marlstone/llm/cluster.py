@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +27,25 @@ def input_partitions(df: DataFrame, mb: float, least: int = 1) -> int:
     """How many partitions of about ``mb`` MB the optimiser's size estimate of ``df`` comes to; no job runs."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(least, -(-size // int(mb * 1e6))), 1_000_000))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node, label`` (long) of every node of an edge; the label is the least node it is connected to.
+
+    edges: ``a, b`` (long).  Alternates large and small stars until nothing changes,
+    in rounds that grow with the logarithm of the size; each round is kept in the
+    shared folder.  Neither edges nor components reach the driver.
+    """
+    ordered = lambda df: df.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct()
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    now = cut(ordered(edges))
+    before, after = None, state(now)
+    while before != after:
+        both = now.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(now.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).distinct()
+        floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(floor, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")), F.struct(F.col("lo").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        now = cut(ordered(small))
+        before, after = after, state(now)
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
