@@ -4,8 +4,8 @@ A line is the set of its words.  Words are ordered by rarity in the corpus, and
 line is indexed under the first few (its prefix), so that two lines of a Jaccard
 similarity of at least the threshold meet under some word.  Pairs that meet pass
 the length filter, the positional filter (how many words can still be shared after
-this position) and a parity filter (64 bits, one flipped by each word: bits that
-differ are words not shared).  What is left is verified on the whole sets.  A line
+this position) and a parity filter (64 bits, for long lines 256, one flipped by
+each word: bits that differ are words not shared).  What is left is verified on the whole sets.  A line
 that is similar to an earlier one goes.
 
 Rarity comes from a table of word counts of fixed size.  Words that share a counter
@@ -14,7 +14,7 @@ join exact whatever the table's size; only speed depends on it.
 
 No bucket emits all pairs of a group of near copies: a line proposes its nearest
 earlier candidates.  Should all of a line's proposals fail although it had others,
-a second round verifies all it has.
+a second round looks for one match among all, again without emitting pairs.
 """
 
 from __future__ import annotations
@@ -29,22 +29,25 @@ from pyspark.sql import functions as F
 
 from .cluster import cut, input_partitions
 from .packing import pack, unpack
-from .wordtable import chunks, mix
+from .wordtable import chunks, mix, order_by
 
 THRESHOLD = 0.8
 RANK_BITS = 18
 SKETCH_CHUNKS = 16
 BUCKET_MB = 8
 MOST_BUCKETS = 1 << 16
-#: Rows up to which keys of affected documents are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 150_000
+#: Size up to which the affected documents and their lines are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
 #: A pair whose parity bits differ in at most this share of what the threshold allows is taken for a match until verified.
 SURE = 0.5
-NEAREST = 4
+NEAREST = 12
+#: Lines of a block of the second round, whose words are broadcast; the corpus is read once a block.
+OPEN_BLOCK = 100_000
 LAST = np.iinfo(np.int64).max
 EPS = 1e-9
 
 PLACE = "doc long, line int, hash long"
+FULL = "word long, doc long, line int, hash long, size long, p0 long, p1 long, p2 long, p3 long, words array<long>"
 PROPOSAL = "b struct<doc: long, line: int, hash: long>, a struct<doc: long, line: int, hash: long>, equal boolean, sure boolean, more boolean, distance int"
 _PLACE = pa.struct([("doc", pa.int64()), ("line", pa.int32()), ("hash", pa.int64())])
 
@@ -116,7 +119,7 @@ class Lines:
         # A line number over all documents: newlines before it, and one more for each document's end.
         at = np.searchsorted(breaks, t.start) + t.doc_of_word
         key = (rank[(h & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)] << np.uint64(64 - RANK_BITS)) | (h >> np.uint64(RANK_BITS))
-        order = np.lexsort((key, at))
+        order = order_by(at, key)
         at, key = at[order], key[order]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
@@ -128,14 +131,20 @@ class Lines:
         head = np.searchsorted(breaks, t.doc[:-1]) + np.arange(len(t.doc) - 1)  # number of each document's first line
         self.doc = np.searchsorted(head, number, side="right") - 1
         self.line = (number - head[self.doc]).astype(np.int32)
-        if not len(at):
-            self.hash, self.parity = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-            return
-        self.hash = (mix(np.add.reduceat(word, self.first)) >> np.uint64(32)).astype(np.uint32)
-        self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (word & np.uint64(63)), self.first)
+        self.hash, self.parity, self.wide = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros((3, 0), np.uint64)
+        if len(at):
+            self.hash = (mix(np.add.reduceat(word, self.first)) >> np.uint64(32)).astype(np.uint32)
+            bit, part = np.uint64(1) << (word & np.uint64(63)), (word >> np.uint64(6)) & np.uint64(3)
+            self.parity = np.bitwise_xor.reduceat(bit, self.first)
+            none = np.uint64(0)
+            long = np.repeat(self.size > LONG, self.size)
+            self.wide = np.array([np.bitwise_xor.reduceat(np.where(long & (part == k), bit, none), self.first) for k in (1, 2, 3)])
 
 
-ENTRY = (np.uint32, np.uint16, np.uint32, np.uint64, np.uint32, np.int64, np.int32)
+#: Lines of more words than this carry 256 parity bits: three parts beside ``parity``, which is all four folded.
+LONG = 96
+#: key, pos, size, parity, hash, doc, line, and the parts of a long line's parity.
+ENTRY = (np.uint32, np.uint16, np.uint32, np.uint64, np.uint32, np.int64, np.int32, np.uint64, np.uint64, np.uint64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -148,7 +157,7 @@ def _spread(keys: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
-    """Bucket and entry columns of the prefixes of lines; copies inside the run keep the first word only."""
+    """Bucket, entry columns and row in ``lines`` of the prefixes of lines; copies inside the run keep the first word only."""
     rows = np.arange(len(lines.size)) if rows is None else rows
     doc = ids[lines.doc[rows]]
     order = np.lexsort((lines.line[rows], doc, lines.parity[rows], lines.hash[rows], lines.size[rows]))
@@ -159,22 +168,45 @@ def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np
     line = np.repeat(r, count)
     pos = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
     bucket, key = _spread(lines.keys[lines.first[line] + pos], bucket_bits)
-    return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line]]
+    return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line], *lines.wide[:, line], line]
 
 
 def _index(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     rank = rank_of()
     for batch in batches:
         ids = _ids(batch.column(0))
-        parts = [_entries(ids[a:b], Lines(table, rank), t, bucket_bits) for a, b, table in chunks(batch.column(1))]
-        yield from _pack_entries(parts)
+        yield from _pack_entries([_entries(ids[a:b], Lines(table, rank), t, bucket_bits)[:-1] for a, b, table in chunks(batch.column(1))])
+
+
+def _full(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int, only_of) -> Iterator[pa.RecordBatch]:
+    """Entries under given words, with whole sets."""
+    rank, only = rank_of(), only_of()
+    for batch in batches:
+        ids = _ids(batch.column(0))
+        for a, b, table in chunks(batch.column(1)):
+            lines = Lines(table, rank)
+            yield _with_sets(_entries(ids[a:b], lines, t, bucket_bits), lines, only)
+
+
+def _with_sets(entries: list[np.ndarray], lines: Lines, only: np.ndarray | None) -> pa.RecordBatch:
+    word = _word(entries[0], entries[1])
+    keep = np.isin(word, only) if only is not None else np.ones(len(word), bool)
+    e = [c[keep] for c in entries]
+    rows = e[-1]
+    sets = pa.array([lines.keys[lines.first[i] : lines.end[i]].view(np.int64) for i in rows], pa.list_(pa.int64()))
+    columns = [word[keep].view(np.int64), e[6], e[7], e[5].astype(np.int64), e[3].astype(np.int64), e[4].view(np.int64), *(w.view(np.int64) for w in e[8:11])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), sets], names=[f.split()[0] for f in FULL.split(", ")])
+
+
+def _word(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (bucket.astype(np.uint64) << np.uint64(32)) | key
 
 
 def _pack_entries(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     columns = [np.concatenate([p[i] for p in parts]) for i in range(len(ENTRY) + 1)]
-    order = np.lexsort((columns[1], columns[0]))
+    order = np.argsort(_word(columns[0], columns[1]))
     columns = [c[order] for c in columns]
     bucket = columns[0]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
@@ -194,9 +226,15 @@ def _load(table: pa.Table) -> list[np.ndarray]:
 
 def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Entries by word, then size, copies of a set side by side with the earliest first; which are later copies, and of which entry."""
-    key, pos, size, parity, sethash, doc, line = _load(table)
-    order = np.lexsort((line, doc, parity, sethash, size, key))
-    c = [x[order] for x in (key, pos, size, parity, sethash, doc, line)]
+    c = _load(table)
+    key, _, size, parity, sethash, doc, line = c[:7]
+    both = (key.astype(np.uint64) << np.uint64(32)) | (np.minimum(size, 0xFFFF).astype(np.uint64) << np.uint64(16)) | (sethash >> np.uint32(16))
+    order = np.argsort(both)
+    tied = both[order][1:] == both[order][:-1]
+    at = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
+    r = order[at]
+    order[at] = r[np.lexsort((line[r], doc[r], parity[r], sethash[r], size[r], both[r]))]
+    c = [x[order] for x in c]
     copy = np.zeros(len(order), bool)
     for i in (0, 2, 3, 4):
         same = c[i][1:] == c[i][:-1]
@@ -212,7 +250,14 @@ def _candidate(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> t
     need = overlap(n, m, t)
     reach = 1 + np.minimum(n - pos[i], m - pos[j]) - 1
     most = n + m - 2 * need
-    differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+    near = parity[i] ^ parity[j]
+    differ = np.bitwise_count(near).astype(np.int64)
+    long = np.flatnonzero((np.minimum(n, m) > LONG) & (differ <= most))
+    if len(long):
+        p, q = i[long], j[long]
+        parts = [w[p] ^ w[q] for w in c[7:]]
+        parts.append(near[long] ^ parts[0] ^ parts[1] ^ parts[2])
+        differ[long] = sum(np.bitwise_count(x).astype(np.int64) for x in parts)
     return (reach >= need) & (differ <= most), differ, most
 
 
@@ -227,7 +272,7 @@ def _proposals(c: list[np.ndarray], b: np.ndarray, a: np.ndarray, equal: np.ndar
 def _propose(table: pa.Table, t: float) -> pa.Table:
     """For each line under a word its nearest earlier candidates; for copies of a set the earliest, as equal."""
     c, copy, lead = _sorted_entries(table)
-    key, pos, size, _, _, doc, line = c
+    key, pos, size, _, _, doc, line = c[:7]
     own = np.flatnonzero(~copy)
     n = len(own)
     best, best_of, seen = np.full(n, 1 << 30), np.full(n, -1), np.zeros(n, np.int64)
@@ -268,78 +313,93 @@ def _propose(table: pa.Table, t: float) -> pa.Table:
     return pa.concat_tables([out, _proposals(c, later, lead[later], ~no, no, no, np.zeros(len(later), np.int64))])
 
 
-def _propose_all(table: pa.Table, probes: pa.Table, t: float) -> pa.Table:
-    """All earlier candidates of the probes, which are entries of the same form."""
-    if not table.num_rows or not probes.num_rows:
-        return _proposals([np.zeros(0, d) for d in ENTRY], *[np.zeros(0, x) for x in (np.int64, np.int64, bool, bool, bool, np.int64)])
-    c, copy, _ = _sorted_entries(table)
-    own = np.flatnonzero(~copy)
-    p = _load(probes)
-    first, end = np.searchsorted(c[0][own], p[0], side="left"), np.searchsorted(c[0][own], p[0], side="right")
-    outs = []
-    for x in range(len(p[0])):
-        j = own[first[x] : end[x]]
-        joined = [np.append(col[j], one[x]) for col, one in zip(c, p, strict=True)]
-        i = np.full(len(j), len(j))
-        passes, differ, _ = _candidate(joined, i, np.arange(len(j)), t)
-        s, m = float(p[2][x]), c[2][j].astype(np.float64)
-        early = (c[5][j] < p[5][x]) | ((c[5][j] == p[5][x]) & (c[6][j] < p[6][x]))
-        hit = np.flatnonzero(passes & early & (np.minimum(s, m) >= t * np.maximum(s, m) - EPS))
-        no = np.zeros(len(hit), bool)
-        outs.append(_proposals(joined, i[hit], hit, no, no, no, differ[hit]))
-    return pa.concat_tables(outs)
-
-
 # Documents that hold given lines
 
 
 def _holding(docs: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
-    """Documents with the ``lines`` (line, hash) of the places that lie in them; places are broadcast only if counted to be few."""
-    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
-    small = places.select("doc").distinct().count() <= BROADCAST_ROWS
+    """Documents with the ``lines`` of the places that lie in them, each as line * 2 ** 32 + hash; broadcast only if counted to be small."""
+    packed = F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("hash"))
+    by_doc = places.groupBy("doc").agg(F.collect_set(packed).alias("lines"))
+    n_docs, n_lines = places.agg(F.approx_count_distinct("doc"), F.count(F.lit(1))).first()
+    small = 72 * n_docs + 8 * n_lines <= BROADCAST_BYTES
     keyed = docs.withColumn("__line_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
     by_doc = by_doc.withColumnRenamed("doc", "__line_doc")
     return keyed.join(F.broadcast(by_doc) if small else by_doc, "__line_doc", how).drop("__line_doc")
 
 
-def _wanted(batch: pa.RecordBatch, a: int, b: int, lines: Lines) -> tuple[np.ndarray, list[list[int]]]:
-    """Rows of ``lines`` that the documents' lists name by line and hash; the line numbers of each document."""
-    asked = batch.column(2).slice(a, b - a).to_pylist()
-    keys = {(d, x["line"], x["hash"]) for d, xs in enumerate(asked) for x in xs or ()}
-    rows = [i for i, key in enumerate(zip(lines.doc.tolist(), lines.line.tolist(), lines.hash.tolist(), strict=True)) if key in keys] if keys else []
-    numbers: list[list[int]] = [[] for _ in asked]
-    for i in rows:
-        numbers[lines.doc[i]].append(int(lines.line[i]))
-    return np.array(rows, np.int64), numbers
+def _requested(texts: pa.Array, asked: pa.Array, rank: np.ndarray):
+    """Runs of asked lines that have the asked hash: owning row, line number, their ``Lines`` and rows there.  Only these lines are read."""
+    owner, number, want, body = [], [], [], []
+    for d, (text, packed) in enumerate(zip(texts.to_pylist(), asked.to_pylist(), strict=True)):
+        if text is None or not packed:
+            continue
+        parts = text.split("\n")
+        for x in packed:
+            line = x >> 32
+            if line < len(parts):
+                owner.append(d)
+                number.append(line)
+                want.append(x & 0xFFFFFFFF)
+                body.append(parts[line])
+    owner, number, want = np.array(owner, np.int64), np.array(number, np.int32), np.array(want, np.uint32)
+    for a, _, t in chunks(pa.array(body, pa.string())):
+        lines = Lines(t, rank)
+        rows = np.flatnonzero(lines.hash == want[a + lines.doc])
+        at = a + lines.doc[rows]
+        yield owner[at], number[at], lines, rows
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rank_of) -> Iterator[pa.RecordBatch]:
-    rank = rank_of()
+    """Words of the asked lines; repeated rows give them once a task."""
+    rank, seen = rank_of(), set()
     for batch in batches:
         ids = _ids(batch.column(0))
-        for a, b, t in chunks(batch.column(1)):
-            lines = Lines(t, rank)
-            rows, _ = _wanted(batch, a, b, lines)
-            place = pa.StructArray.from_arrays([pa.array(ids[a:b][lines.doc[rows]]), pa.array(lines.line[rows]), pa.array(lines.hash[rows].astype(np.int64))], fields=list(_PLACE))
-            words = pa.array([lines.keys[lines.first[i] : lines.end[i]].view(np.int64) for i in rows], pa.list_(pa.int64()))
+        for owner, number, lines, rows in _requested(batch.column(1), batch.column(2), rank):
+            keys = list(zip(ids[owner].tolist(), number.tolist(), lines.hash[rows].tolist(), strict=True))
+            new = np.array([k for k, key in enumerate(keys) if not (key in seen or seen.add(key))], np.int64)
+            place = pa.StructArray.from_arrays([pa.array(ids[owner[new]]), pa.array(number[new]), pa.array(lines.hash[rows[new]].astype(np.int64))], fields=list(_PLACE))
+            words = pa.array([lines.keys[lines.first[i] : lines.end[i]].view(np.int64) for i in rows[new]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([place, words], names=["place", "words"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """Entries of the asked lines, with whole sets."""
     rank = rank_of()
     for batch in batches:
         ids = _ids(batch.column(0))
-        for a, b, table in chunks(batch.column(1)):
-            lines = Lines(table, rank)
-            rows, _ = _wanted(batch, a, b, lines)
-            yield from _pack_entries([_entries(ids[a:b], lines, t, bucket_bits, np.array([r]))  for r in rows])
+        for owner, number, lines, rows in _requested(batch.column(1), batch.column(2), rank):
+            line, doc = np.zeros(len(lines.size), np.int32), np.zeros(len(lines.size), np.int64)
+            line[rows], doc[rows] = number, ids[owner]
+            lines.line, lines.doc = line, np.arange(len(lines.size))
+            for r in rows:
+                yield _with_sets(_entries(doc, lines, t, bucket_bits, np.array([r])), lines, None)
+
+
+def _any_match(docs: DataFrame, open_lines: DataFrame, rank_of, t: float, bucket_bits: int) -> DataFrame:
+    """Those of ``open_lines`` that have an earlier similar line, found by a semi-join on the words of their prefixes."""
+    spark = docs.sparkSession
+    settings = {"rank_of": rank_of, "t": t, "bucket_bits": bucket_bits}
+    probes = cut(_holding(docs, open_lines).mapInArrow(partial(_probe, **settings), FULL))
+    only = np.unique(np.array([r[0] for r in probes.select("word").distinct().toLocalIterator()], np.int64)).view(np.uint64)
+    only = spark.sparkContext.broadcast(np.sort(only))
+    entries = docs.mapInArrow(partial(_full, **settings, only_of=partial(_value, only)), FULL)
+    b, a = probes.alias("b"), entries.alias("a")
+    n, m = F.col("b.size"), F.col("a.size")
+    early = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
+    most = n + m - 2 * F.ceil(F.lit(t / (1 + t)) * (n + m) - EPS)
+    bits = [F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}")) for i in range(4)]
+    wide = F.bit_count(bits[1]) + F.bit_count(bits[2]) + F.bit_count(bits[3]) + F.bit_count(bits[0].bitwiseXOR(bits[1]).bitwiseXOR(bits[2]).bitwiseXOR(bits[3]))
+    differ = F.when(F.least(n, m) > LONG, wide).otherwise(F.bit_count(bits[0]))
+    shared = F.size(F.array_intersect("a.words", "b.words"))
+    match = early & (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - EPS) & (differ <= most) & (shared * (1 + t) >= t * (n + m) - EPS)
+    return b.join(a, (F.col("a.word") == F.col("b.word")) & match, "left_semi").select("doc", "line", "hash").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rank_of, t: float) -> DataFrame:
     """Pairs with ``match``: whether the whole sets reach the threshold."""
     places = pairs.select(F.explode(F.array("a", "b")).alias("p")).select("p.*").distinct()
     held = _holding(docs.select("doc_id", "text"), places)
-    sets = held.mapInArrow(partial(_sets, rank_of=rank_of), "place struct<doc: long, line: int, hash: long>, words array<long>").dropDuplicates(["place"])
+    sets = held.mapInArrow(partial(_sets, rank_of=rank_of), "place struct<doc: long, line: int, hash: long>, words array<long>")
     left = sets.select(F.col("place").alias("a"), F.col("words").alias("a_words"))
     right = sets.select(F.col("place").alias("b"), F.col("words").alias("b_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
@@ -368,13 +428,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chosen = cut(chosen)
     verdict = cut(_verified(docs, chosen.select("a", "b"), rank_of, threshold).groupBy("b").agg(F.max("match").alias("match")))
     found = equal.unionByName(verdict.where("match").select("b"))
+    # Lines all of whose proposals failed though they had others.
     open_lines = cut(verdict.where("NOT match").join(chosen.where("more").select("b").distinct(), "b", "left_semi").select("b.*"))
-    if open_lines.take(1):
-        probes = _holding(docs, open_lines).mapInArrow(partial(_probe, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits), "bucket long, n int, body binary")
-        everything = entries.groupBy("bucket").cogroup(probes.groupBy("bucket")).applyInArrow(_grouped2(_propose_all, threshold), PROPOSAL)
-        pairs = cut(everything.select("a", "b").distinct())
-        found = found.unionByName(_verified(docs, pairs, rank_of, threshold).where("match").select("b"))
-    return cut(found.select("b.*").distinct())
+    rounds = -(-open_lines.count() // OPEN_BLOCK)
+    found = found.select("b.*")
+    for r in range(rounds):
+        block = open_lines.where(F.pmod(F.xxhash64("doc", "line", "hash"), F.lit(rounds)) == r)
+        found = found.unionByName(_any_match(docs, block, rank_of, threshold, bucket_bits))
+    return cut(found.distinct())
 
 
 def _value(shared):
@@ -385,10 +446,6 @@ def _grouped(f, t: float):
     return lambda table: f(table, t)
 
 
-def _grouped2(f, t: float):
-    return lambda table, probes: f(table, probes, t)
-
-
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``text`` less its later lines, and ``n_lines``, ``n_removed`` (long).
 
@@ -417,15 +474,13 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             texts = batch.column(1).to_pylist()
             counts = [0 if x is None else x.count("\n") + 1 for x in texts]
             removed = [0] * len(texts)
-            touched = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
-            part = batch.take(pa.array(touched))
-            for a, b, t in chunks(part.column(1)):
-                _, numbers = _wanted(part, a, b, Lines(t, plain))
-                for i, drop in zip(touched[a:b].tolist(), numbers, strict=True):
-                    if drop:
-                        gone_here = set(drop)
-                        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone_here)
-                        removed[i] = len(gone_here)
+            drop: dict[int, set[int]] = {}
+            for owner, number, _, _ in _requested(batch.column(1), batch.column(2), plain):
+                for i, k in zip(owner.tolist(), number.tolist(), strict=True):
+                    drop.setdefault(i, set()).add(k)
+            for i, gone_here in drop.items():
+                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone_here)
+                removed[i] = len(gone_here)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
     return shared.mapInArrow(rewrite, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cluster import connected, cut
 from .wordcodes import gather
-from .wordtable import chunks, mix, range_hash, runs
+from .wordtable import chunks, mix, order_by, range_hash, runs
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def shingles(t, words: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         doc = np.concatenate((doc, short))
         keys = np.concatenate((keys, range_hash(h, t.offsets[short], t.offsets[short + 1])))
-    order = np.lexsort((keys, doc))
+    order = order_by(doc, keys)
     doc, keys = doc[order], keys[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])
@@ -203,7 +203,7 @@ def _prune(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> pa.Tab
         if b - a > FEW:
             edges = np.array(_forest(sig[a:b], steps), np.int64).reshape(-1, 2)
             ends.append((u1[a:b][edges[:, 0]], u1[a:b][edges[:, 1]]))
-    return pa.table([pa.array(np.concatenate([e[k] for e in ends])) for k in (0, 1)], names=["a", "b"])
+    return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *(e[k] for e in ends)])) for k in (0, 1)], names=["a", "b"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordcodes import WordCodes, gather
-from .wordtable import CHUNK_BYTES, Words, buffers
+from .wordtable import Words, buffers
 
 MODEL = os.environ.get("MARLSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁".encode()
+#: Bytes at once: large, as the known segments are merged with the new ones each time.
+CODED_BYTES = 2_000_000
 UNKNOWN_BELOW = 10.0  # a fallback character scores so much less than the worst piece
 
 
@@ -195,7 +197,7 @@ class Encoder:
         data, doc = buffers(column)
         parts, counts, row = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
         while row < len(column):
-            stop = int(np.searchsorted(doc, doc[row] + CHUNK_BYTES, side="right")) - 1
+            stop = int(np.searchsorted(doc, doc[row] + CODED_BYTES, side="right")) - 1
             stop = min(len(column), max(stop, row + 1))
             piece, offsets = data[doc[row] : doc[stop]], doc[row : stop + 1] - doc[row]
             if SPACE in (raw := piece.tobytes()):
