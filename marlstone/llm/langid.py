@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .wordtable import buffers
@@ -157,23 +158,26 @@ def _has_letter() -> Column:
 def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, most_langs: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded training set: ``per_lang`` documents of each language, ``per_doc`` windows of each.
 
-    Documents are chosen by the hash of their text, and the windows lie evenly
-    over a text; at most ``most_langs`` languages of most documents are learned.
-    These are bounds of the sample, not of what is scored.  Each map task keeps at
-    most ``per_lang`` rows of a language before the shuffle.
+    Different texts are chosen by least hash, among those whose hash is so low that
+    about four times ``per_lang`` rows are left, and the windows lie evenly over a
+    text; at most ``most_langs`` languages of most documents are learned.  These are
+    bounds of the sample, not of what is scored.
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("lang", "text").where(_has_letter())
-    top = [r[0] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
+    top = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(top)
     size = F.octet_length("text")
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(per_doc - 1)),
         lambda i: F.substring(F.col("text"), (i * F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(per_doc - 1, 1)).cast("int") + 1, F.lit(WINDOW)),
     )
-    ranked = rows.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("text").alias("h"), size.alias("size"), F.array_distinct(pieces).alias("pieces"))
-    from pyspark.sql import Window
-
-    chosen = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("r") <= per_lang)
+    # Hashes below a share of their range that holds some four times as many rows as are wanted.
+    share = {k: min(1.0, 4 * per_lang / n) for k, n in top.items()}
+    low = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]) if share else F.create_map(F.lit(""), F.lit(0.0))
+    hashed = rows.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("text"))
+    few = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 < low[F.col("lang")]).select("lang", "h", size.alias("size"), F.array_distinct(pieces).alias("pieces"))
+    few = few.groupBy("lang", "h", "size").agg(F.first("pieces").alias("pieces"))
+    chosen = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "size"))).where(F.col("r") <= per_lang)
     got = sorted((r["lang"], r["h"], piece) for r in chosen.select("lang", "h", "pieces").collect() for piece in r["pieces"])
     column = pa.array([g[2] for g in got], pa.string())
     data, offsets = buffers(column)
@@ -197,7 +201,7 @@ def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = ()) -> DataFr
     language was learned.  Other columns are ignored, repeated rows give repeated
     results.  There is no shuffle; a window is scored alike wherever it stands.
     """
-    columns = [c for c in keep if c not in ("doc_id", "text")]
+    columns = [c for c in keep if c != "doc_id"]
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
     step = 2000  # windows at once
 
