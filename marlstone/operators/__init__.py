@@ -1,0 +1 @@
+"""Relational operators that Spark has no single call for."""

@@ -1,4 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import extensions, relational, streams  # noqa: F401  they register their queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

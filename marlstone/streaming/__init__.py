@@ -1,0 +1 @@
+"""Structured Streaming operators, and how to drain a stream."""
