@@ -13,6 +13,7 @@ from .ranking import top_k
 def buckets(vector: Column, dimension: int, tables: int, width: float, seed: int) -> Column:
     """One bucket per table: the projection on a random direction, in steps of ``width``."""
     directions = np.random.default_rng(seed).standard_normal((tables, dimension))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
     return F.array(*[F.floor(dot(vector, F.array(*map(F.lit, r.tolist()))) / width).cast("long") for r in directions])
 
 
