@@ -59,4 +59,33 @@ e AS (
 SELECT doc_id, source, n AS n_tokens, (whole + CASE WHEN tokens > 0 AND upto <= want - whole * tokens THEN 1 ELSE 0 END)::BIGINT AS copies FROM k
 """
 
-ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op6_mixing": OP6}
+OP3 = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY 1),
+w AS (SELECT rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (
+  SELECT DISTINCT rep, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+), z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS node, rep AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+k AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies::BIGINT AS n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN k ON k.node = t.rep LEFT JOIN n ON n.a = t.rep
+"""
+
+OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM g),
+c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE r > 1) GROUP BY doc_id),
+x AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+y AS (SELECT doc_id, w, list_sort(gone) AS gone, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)) AS kept FROM x)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_transform(kept, lambda j: w[j]), ' ')) AS kept_sha256,
+       len(list_filter(gone, lambda j: NOT list_contains(gone, j - 1)))::BIGINT AS n_repeats
+FROM y
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op9_substring_dedup": OP9}
