@@ -12,7 +12,7 @@ from marlstone.llm.cluster import checkpoint_dir
 from marlstone.llm.queries import MIX
 
 #: A prediction below this share of certainty counts as no known language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids_sha256, round_trip`` of every document drawn."""
-    decoded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text")))
-    return decoded.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return pieces.round_trip(docs.select("doc_id", "source", "text"))
 
 
 def _recounted(rows: DataFrame, like: DataFrame) -> DataFrame:
