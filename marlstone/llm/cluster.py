@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,38 @@ def connected(edges: DataFrame) -> DataFrame:
         now = cut(ordered(small))
         before, after = after, state(now)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's Arrow batch size to ``rows`` if it is larger: texts can be long, and a batch is held whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(f):
+    """A generator over batches that releases memory every second or so, and at its end."""
+
+    @functools.wraps(f)
+    def run(*args, **more):
+        last = time.monotonic()
+        try:
+            for item in f(*args, **more):
+                yield item
+                del item
+                if time.monotonic() - last > 1:
+                    release()
+                    last = time.monotonic()
+        finally:
+            release()
+
+    return run

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cluster import small_batches, tidy
 from .wordtable import buffers
 
 WINDOW = 256
@@ -135,14 +136,16 @@ class Scorer:
 
 
 def cut_windows(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of each text, side by side, the last padded with zeros: bytes, text, length.  ASCII capitals are made small."""
+    """Windows of each text, side by side, the last padded with zeros: bytes, text, length.  Capitals of ASCII and Latin-1 are made small."""
     size = np.diff(offsets)
     counts = -(-size // width)
     text = np.repeat(np.arange(len(size)), counts)
     inside = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[text] + inside * width
     length = np.minimum(width, offsets[text + 1] - start)
-    small = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
+    # Latin-1 capitals are xC3 x80-x9E but for x97 in UTF-8.
+    second = np.concatenate(([False], data[:-1] == 0xC3)) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97) if len(data) else np.zeros(0, bool)
+    small = data + np.where(second | ((data >= 65) & (data <= 90)), 32, 0).astype(np.uint8)
     if not len(text):
         return np.zeros((0, width), np.uint8), text, length
     padded = np.concatenate((small, np.zeros(width, np.uint8)))
@@ -201,10 +204,12 @@ def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = ()) -> DataFr
     language was learned.  Other columns are ignored, repeated rows give repeated
     results.  There is no shuffle; a window is scored alike wherever it stands.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in keep if c != "doc_id"]
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
-    step = 2000  # windows at once
+    step = 400  # windows at once
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net.langs else None
         names = np.array([*net.langs, NONE], dtype=object)

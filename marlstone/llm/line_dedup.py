@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, input_partitions
+from .cluster import cut, input_partitions, release, small_batches, tidy
 from .packing import pack, unpack
 from .wordtable import chunks, mix, order_by
 
@@ -64,6 +64,7 @@ def prefix(n: np.ndarray, t: float) -> np.ndarray:
 # Rarity
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << RANK_BITS, np.int64)
     for batch in batches:
@@ -78,6 +79,7 @@ def _chunks_of(table: np.ndarray, which) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([pack(np.zeros(0, np.uint8), parts[i]) for i in which], pa.binary())], names=["chunk", "body"])
 
 
+@tidy
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     width = (1 << RANK_BITS) // SKETCH_CHUNKS
     table, seen = np.zeros((SKETCH_CHUNKS, width), np.int64), set()
@@ -113,12 +115,22 @@ def rarity(docs: DataFrame) -> np.ndarray:
 class Lines:
     """Word sets of the lines of a run of documents; ``keys`` ascend by rarity inside a line."""
 
-    def __init__(self, t, rank: np.ndarray):
+    def __init__(self, t, rank: np.ndarray, only: np.ndarray | None = None):
+        """only: ascending keys; lines without any of them are left out."""
         h = t.word_hashes()
         breaks = np.flatnonzero(t.data == 10)
         # A line number over all documents: newlines before it, and one more for each document's end.
         at = np.searchsorted(breaks, t.start) + t.doc_of_word
         key = (rank[(h & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)] << np.uint64(64 - RANK_BITS)) | (h >> np.uint64(RANK_BITS))
+        if only is not None:
+            shift = np.uint64(64 - RANK_BITS)
+            flags = np.zeros(1 << RANK_BITS, bool)
+            flags[(only >> shift).astype(np.int64)] = True
+            hit = np.flatnonzero(flags[(key >> shift).astype(np.int64)])
+            wanted = np.zeros(int(at[-1]) + 1 if len(at) else 0, bool)
+            wanted[at[hit[np.isin(key[hit], only)]]] = True
+            near = wanted[at]
+            at, key, h = at[near], key[near], h[near]
         order = order_by(at, key)
         at, key = at[order], key[order]
         new = np.ones(len(at), bool)
@@ -157,7 +169,7 @@ def _spread(keys: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
-    """Bucket, entry columns and row in ``lines`` of the prefixes of lines; copies inside the run keep the first word only."""
+    """Bucket, entry columns, row in ``lines`` and key of the prefixes of lines; copies inside the run keep the first word only."""
     rows = np.arange(len(lines.size)) if rows is None else rows
     doc = ids[lines.doc[rows]]
     order = np.lexsort((lines.line[rows], doc, lines.parity[rows], lines.hash[rows], lines.size[rows]))
@@ -167,34 +179,35 @@ def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np
     count = np.where(copy, np.minimum(1, lines.size[r]), prefix(lines.size[r], t))
     line = np.repeat(r, count)
     pos = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-    bucket, key = _spread(lines.keys[lines.first[line] + pos], bucket_bits)
-    return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line], *lines.wide[:, line], line]
+    word = lines.keys[lines.first[line] + pos]
+    bucket, key = _spread(word, bucket_bits)
+    return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line], *lines.wide[:, line], line, word]
 
 
+@tidy
 def _index(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     rank = rank_of()
     for batch in batches:
         ids = _ids(batch.column(0))
-        yield from _pack_entries([_entries(ids[a:b], Lines(table, rank), t, bucket_bits)[:-1] for a, b, table in chunks(batch.column(1))])
+        yield from _pack_entries([_entries(ids[a:b], Lines(table, rank), t, bucket_bits)[:-2] for a, b, table in chunks(batch.column(1))])
 
 
+@tidy
 def _full(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int, only_of) -> Iterator[pa.RecordBatch]:
     """Entries under given words, with whole sets."""
     rank, only = rank_of(), only_of()
     for batch in batches:
         ids = _ids(batch.column(0))
         for a, b, table in chunks(batch.column(1)):
-            lines = Lines(table, rank)
+            lines = Lines(table, rank, only)
             yield _with_sets(_entries(ids[a:b], lines, t, bucket_bits), lines, only)
 
 
 def _with_sets(entries: list[np.ndarray], lines: Lines, only: np.ndarray | None) -> pa.RecordBatch:
-    word = _word(entries[0], entries[1])
-    keep = np.isin(word, only) if only is not None else np.ones(len(word), bool)
-    e = [c[keep] for c in entries]
-    rows = e[-1]
+    keep = np.isin(entries[-1], only) if only is not None else np.ones(len(entries[-1]), bool)
+    *e, rows, word = (c[keep] for c in entries)
     sets = pa.array([lines.keys[lines.first[i] : lines.end[i]].view(np.int64) for i in rows], pa.list_(pa.int64()))
-    columns = [word[keep].view(np.int64), e[6], e[7], e[5].astype(np.int64), e[3].astype(np.int64), e[4].view(np.int64), *(w.view(np.int64) for w in e[8:11])]
+    columns = [word.view(np.int64), e[6], e[7], e[5].astype(np.int64), e[3].astype(np.int64), e[4].view(np.int64), *(w.view(np.int64) for w in e[8:11])]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), sets], names=[f.split()[0] for f in FULL.split(", ")])
 
 
@@ -349,6 +362,7 @@ def _requested(texts: pa.Array, asked: pa.Array, rank: np.ndarray):
         yield owner[at], number[at], lines, rows
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], rank_of) -> Iterator[pa.RecordBatch]:
     """Words of the asked lines; repeated rows give them once a task."""
     rank, seen = rank_of(), set()
@@ -362,6 +376,7 @@ def _sets(batches: Iterator[pa.RecordBatch], rank_of) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([place, words], names=["place", "words"])
 
 
+@tidy
 def _probe(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """Entries of the asked lines, with whole sets."""
     rank = rank_of()
@@ -415,6 +430,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(rarity(docs))  # 2 MB at every size
     rank_of = partial(_value, shared)
     bucket_bits = max(0, min(input_partitions(docs, BUCKET_MB), MOST_BUCKETS) - 1).bit_length()
@@ -443,7 +459,12 @@ def _value(shared):
 
 
 def _grouped(f, t: float):
-    return lambda table: f(table, t)
+    def run(table):
+        out = f(table, t)
+        release()
+        return out
+
+    return run
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -468,6 +489,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     names = ["doc_id", "text", *(f.name for f in others), "n_lines", "n_removed"]
 
+    @tidy
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.arange(1 << RANK_BITS, dtype=np.uint64)
         for batch in batches:

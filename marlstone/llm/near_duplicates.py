@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import connected, cut
+from .cluster import connected, cut, release, small_batches, tidy
 from .wordcodes import gather
 from .wordtable import chunks, mix, order_by, range_hash, runs
 
@@ -51,6 +51,7 @@ BUCKET_BLOCK = 20_000
 VERIFY_BLOCK = 512
 BROADCAST_ROWS = 250_000
 FEW = 8
+SEEN = 100_000
 
 
 def least_matches(s: Settings) -> list[tuple[int, int]]:
@@ -112,8 +113,10 @@ def minhash(keys: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.ndarray,
 
 
 def _unique_rows(u1: np.ndarray, u2: np.ndarray, seen: set) -> np.ndarray:
-    """Rows whose (u1, u2) is new to ``seen``."""
+    """Rows whose (u1, u2) is new to ``seen``, which forgets all when it is large: later steps drop what slips through."""
     out = []
+    if len(seen) > SEEN:
+        seen.clear()
     for i, key in enumerate(zip(u1.tolist(), u2.tolist(), strict=True)):
         if key not in seen:
             seen.add(key)
@@ -126,9 +129,11 @@ def _identity(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(0x5EED), text, F.length(text)).alias("u2")]
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    seen: set = set()
     for batch in batches:
-        rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), set())
+        rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), seen)
         batch = batch.take(pa.array(rows))
         for a, b, t in chunks(batch.column(2)):
             keys, at = shingles(t, s.words)
@@ -203,13 +208,16 @@ def _prune(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> pa.Tab
         if b - a > FEW:
             edges = np.array(_forest(sig[a:b], steps), np.int64).reshape(-1, 2)
             ends.append((u1[a:b][edges[:, 0]], u1[a:b][edges[:, 1]]))
+    release()
     return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *(e[k] for e in ends)])) for k in (0, 1)], names=["a", "b"])
 
 
+@tidy
 def _shingled(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Signature and shingles of each different text of a batch."""
+    """Signature and shingles of each different text of a task."""
+    seen: set = set()
     for batch in batches:
-        rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), set())
+        rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), seen)
         batch = batch.take(pa.array(rows))
         for a, b, t in chunks(batch.column(3)):
             keys, at = shingles(t, s.words)
@@ -287,6 +295,7 @@ def _verify(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> pa.Ta
                 changed = bool((before != root).any())
         for column, values in zip(out, (component[a:b], u1[a:b], u2[a:b], links, u1[a:b][root], u2[a:b][root]), strict=True):
             column.append(values)
+    release()
     names = ["label", "u1", "u2", "n_links", "r1", "r2"]
     return pa.table([pa.array(np.concatenate(c)) for c in out], names=names)
 
@@ -315,6 +324,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     s = settings
     steps = least_matches(s)
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_identity(F.col("text")))
     signed = cut(texts.select("u1", "u2", "text").mapInArrow(lambda it: _sign(it, s), "u1 long, u2 long, sig binary, bands array<long>").dropDuplicates(["u1", "u2"]))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), signed.rdd.getNumPartitions()) * 2
@@ -345,7 +355,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies, u1, u2`` (long) of every document.
+    """``doc_id, class_id, n_links, n_copies, u1, u2, root`` of every document.
 
     class_id: the least id of the documents connected by links (a similarity of the
     threshold or more between different texts) or by equal texts; null if all its
@@ -354,7 +364,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     other bytes than x20, x09-x0D, unchanged); a text of fewer words is one shingle,
     one without words has none and no links.  A null text is empty.  Repeated rows
     are copies.  Columns other than ``doc_id`` and ``text`` are ignored; ``u1, u2``
-    identify the text.
+    identify the text, ``root`` the class, as documents of one id may be of several.
     """
     nodes, ids = links(docs, settings)
     ids = cut(ids)
@@ -364,15 +374,15 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     per_text = cut(per_text)
     per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"))
     same = F.col("root").eqNullSafe(F.col("of"))
-    per_text = per_text.join(per_class.withColumnRenamed("root", "of"), same).select("u1", "u2", "n_copies", "n_links", "class_id")
-    return ids.join(per_text, ["u1", "u2"]).select("doc_id", "class_id", "n_links", "n_copies", "u1", "u2")
+    per_text = per_text.join(per_class.withColumnRenamed("root", "of"), same).select("u1", "u2", "n_copies", "n_links", "class_id", "root")
+    return ids.join(per_text, ["u1", "u2"]).select("doc_id", "class_id", "n_links", "n_copies", "u1", "u2", "root")
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with one document of each class: that of the least id, of rows with that id the least text identity, of repeated rows one."""
     found = cut(classes(docs, settings))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u1", "u2")
-    lasting = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.struct("u1", "u2")).alias("alone")).agg(F.min(key).alias("k")).select("k.doc_id", "k.u1", "k.u2")
+    lasting = found.groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.u1", "k.u2")
     counts = found.groupBy("doc_id", "u1", "u2").agg(F.count(F.lit(1)).alias("n"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in ("doc_id", "u1", "u2")]
     gone = cut(counts.join(lasting, same(counts, lasting), "left_anti").select("doc_id", "u1", "u2"))

@@ -10,6 +10,7 @@ each different segment of a batch is worked out once, many side by side.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import release, small_batches, tidy
 from .wordcodes import WordCodes, gather
 from .wordtable import Words, buffers
 
 MODEL = os.environ.get("MARLSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁".encode()
 #: Bytes at once: large, as the known segments are merged with the new ones each time.
-CODED_BYTES = 2_000_000
+CODED_BYTES = 1_000_000
 UNKNOWN_BELOW = 10.0  # a fallback character scores so much less than the worst piece
 
 
@@ -80,7 +82,7 @@ class Automaton:
         parent = np.array([state[n[:-1]] for n in names])
         by = self.byte_class[np.array([n[-1] if n else 0 for n in names])]
         n = len(names)
-        self.step = np.zeros((n, len(used) + 1), np.int32)
+        self.step = np.zeros((n, len(used) + 1), np.uint16 if n < 1 << 16 else np.int32)
         fail, self.link = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.piece, self.length, self.score = np.full(n, -1, np.int32), depth.astype(np.int64), np.zeros(n)
         for body, i, score in vocabulary.scored:
@@ -190,6 +192,7 @@ class Encoder:
     def __init__(self, model: str = MODEL):
         self.vocabulary = Vocabulary(model)
         self.automaton = Automaton(self.vocabulary)
+        release()
         self.codes = WordCodes(lambda words: self.automaton.segments(words, self.vocabulary.byte_id), most=250_000)
 
     def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -223,10 +226,12 @@ def encode(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
     empty text has no tokens, repeated rows give repeated results.  Every text is
     encoded whole.  The model must be readable on all executors under one path.
     """
+    small_batches(docs.sparkSession)
     others = [f for f in docs.schema if f.name not in ("doc_id", "n_tokens", "ids")]
     text_at = [f.name for f in others].index("text") + 1
     schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long", "ids binary"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for whole in batches:
@@ -239,10 +244,38 @@ def encode(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str = MODEL, rows: int = 500) -> DataFrame:
+    """``n_tokens long, ids_sha256 string`` (of little-endian int32 ids) and ``round_trip boolean`` beside the columns of ``docs`` but ``text``.
+
+    Encodes each text, decodes the ids and compares, in one pass that ships neither
+    ids nor texts; ``encode`` and ``decode`` do the same in two.  A null is empty.
+    """
+    small_batches(docs.sparkSession)
+    others = [f for f in docs.schema if f.name not in ("text", "n_tokens", "ids_sha256", "round_trip")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, ids_sha256 string, round_trip boolean"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model)
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                batch = whole.slice(k, rows)
+                ids, at = encoder.column(batch.column(0))
+                digests, equal = [], []
+                for text, a, b in zip(batch.column(0), at[:-1], at[1:], strict=True):
+                    digests.append(hashlib.sha256(ids[a:b].tobytes()).hexdigest())
+                    equal.append(encoder.vocabulary.decode(ids[a:b]) == (text.as_py() or "").encode())
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(at)), pa.array(digests, pa.string()), pa.array(equal, pa.bool_())], names=[*batch.schema.names[1:], "n_tokens", "ids_sha256", "round_trip"])
+
+    return docs.select("text", *[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, model: str = MODEL, name: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids`` in column ``name``; null ids give an empty text, bytes that are no UTF-8 the replacement sign."""
+    small_batches(encoded.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != name), f"`{name}` string"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model)
         for batch in batches:

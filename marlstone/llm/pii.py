@@ -25,6 +25,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .cluster import small_batches, tidy
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "account", "secret")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
@@ -216,6 +218,9 @@ def detect(docs: DataFrame) -> DataFrame:
     Each text is searched whole, by itself; there is no shuffle.
     """
 
+    small_batches(docs.sparkSession)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:

@@ -81,8 +81,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
