@@ -10,8 +10,9 @@ Kinds, in the order of results:
   patterns, none overlapping another of its kind; what fails validation is
   dropped and not tried again from a later start.
 * ``login``: the user part of a URL's authority, as in ``ssh://name:word@host``.
-* ``account``: the value after a cue such as ``iban`` or ``account no``; IBANs
-  must pass their check digits, other values need five digits.
+* ``account``: the value after a cue such as ``iban`` or ``account no``, with a
+  separator or right after the cue and words such as ``number is``; IBANs must
+  pass their check digits, other values need five digits.
 * ``secret``: the value after a cue such as ``token =`` or ``api_key:``, of eight
   characters or more with a digit and a letter.
 """
@@ -38,6 +39,9 @@ LOCAL = LABEL | set("._%+")
 PHONE = DIGITS | set(" ().-")
 VALUE = LETTERS | DIGITS | set("_-./+")
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport", "social security", "customer id")
+#: Words that may stand between an account cue and a value without a separator; after the first kind a separator may come late.
+NUMBER_WORDS = frozenset(("no", "nr", "nbr", "num", "number", "id", "code"))
+LINK_WORDS = NUMBER_WORDS | {"is"}
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api key", "access_key")
 
 
@@ -125,9 +129,19 @@ def _only_digits(s: str) -> str:
     return "".join(c for c in s if c in DIGITS)
 
 
-def _cued(t: str, i: int) -> tuple[int, int] | None:
+def _value(t: str, i: int) -> tuple[int, int] | None:
+    """The run of value characters from i on, without dots, slashes and hyphens at its end."""
+    n, start = len(t), i
+    while i < n and t[i] in VALUE:
+        i += 1
+    while i > start and t[i - 1] in "./-":
+        i -= 1
+    return (start, i) if i > start else None
+
+
+def _cued(t: str, i: int, within: int = 12) -> tuple[int, int] | None:
     """The value after a cue that ends at i: few words, then ``:``, ``=`` or ``#``, then a run."""
-    n, stop = len(t), min(len(t), i + 12)
+    n, stop = len(t), min(len(t), i + within)
     while i < stop and (t[i] in LETTERS or t[i] in " .'\""):
         i += 1
     if i >= n or t[i] not in ":=#":
@@ -135,12 +149,39 @@ def _cued(t: str, i: int) -> tuple[int, int] | None:
     i += 1
     while i < n and t[i] in " \"'":
         i += 1
-    start = i
-    while i < n and t[i] in VALUE:
-        i += 1
-    while i > start and t[i - 1] in "./-":
-        i -= 1
-    return (start, i) if i > start else None
+    return _value(t, i)
+
+
+def _number(t: str, start: int) -> int:
+    """End of the IBAN or the value of five digits or more that starts here, or 0; digits may be grouped if the first group is too short."""
+    if end := _iban(t, start):
+        return end
+    span = _value(t, start)
+    if span and len(_only_digits(t[start : span[1]])) < 5 and t[start] in DIGITS:
+        span = (start, _grouped(t, start))
+    return span[1] if span and len(_only_digits(t[start : span[1]])) >= 5 else 0
+
+
+def _account(t: str, cue_end: int) -> tuple[int, int] | None:
+    """The account after a cue that ends at cue_end: after a separator, or right after the cue and its link words."""
+    n, i, words = len(t), cue_end, []
+    while True:
+        short = words or t[max(0, cue_end - 4) : cue_end].lower() == "acct"  # a dot after it ends no sentence
+        while i < n and (t[i] in " \t\n'\"()-" or (short and t[i] == ".")):
+            i += 1
+        j = i
+        while j < n and j < i + 8 and t[j] in LETTERS:
+            j += 1
+        if i == cue_end or len(words) == 3 or t[i:j].lower() not in LINK_WORDS or (j < n and t[j] in DIGITS):
+            break
+        words.append(t[i:j].lower())
+        i = j
+    if span := _cued(t, cue_end, 40 if words and words[0] in NUMBER_WORDS else 12):
+        end = _number(t, span[0])
+        return (span[0], end) if end else None
+    # Glued to the cue, only check digits tell a value from the rest of a word.
+    end = _number(t, i) if i > cue_end else _iban(t, i)
+    return (i, end) if end and t[end : end + 1] != "@" else None
 
 
 def _iban(t: str, start: int) -> int:
@@ -195,14 +236,9 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
         elif tag == "scheme":
             if span := _login(text, last + 1):
                 out["login"].append(span)
-        elif last >= past["value"] and (span := _cued(text, last + 1)):
+        elif last >= past["value"] and (span := (_account if tag == "account" else _cued)(text, last + 1)):
             value = text[span[0] : span[1]]
-            if tag == "account":
-                if end := _iban(text, span[0]):
-                    span = (span[0], end)
-                elif len(_only_digits(value)) < 5:
-                    continue
-            elif len(value) < 8 or not (set(value) & DIGITS and set(value) & LETTERS):
+            if tag == "secret" and (len(value) < 8 or not (set(value) & DIGITS and set(value) & LETTERS)):
                 continue
             past["value"] = span[1]
             out[tag].append(span)

@@ -50,6 +50,28 @@ def test_added_kinds():
     assert found["login"] == ["root:pw1"] and found["account"] == ["GB82 WEST 1234 5698 7654 32", "12345678"] and found["secret"] == ["24be64439e3e49cf"]
 
 
+def test_accounts_without_separators():
+    account = lambda text: [text[a:b] for a, b in pii.find(text, A)["account"]]
+    for text, value in (
+        ("IBAN DE89 3704 0044 0532 0130 00 please", "DE89 3704 0044 0532 0130 00"),
+        ("iban\nDE89370400440532013000.", "DE89370400440532013000"),
+        ("IBAN number is GB82 WEST 1234 5698 7654 32,", "GB82 WEST 1234 5698 7654 32"),
+        ("account no 12345678", "12345678"),
+        ("Account No. 12345678.", "12345678"),
+        ("SSN 123-45-6789", "123-45-6789"),
+        ("SSN 123 45 6789 or", "123 45 6789"),
+        ("account: 1234 5678 9012", "1234 5678 9012"),
+        ("passport P1234567", "P1234567"),
+        ("social security number 123-45-6789", "123-45-6789"),
+        ("account number of the holder: 123456", "123456"),
+        ("account #12345678", "12345678"),
+        ("acct. 12345678", "12345678"),
+    ):
+        assert account(text) == [value], text
+    for text in ("IBAN DE89 3704 0044 0532 0130 01", "account no 1234", "the account was opened in 20240115", "accounting 20240115", "I closed the account. 20240115 was the day", "account user12345@example.com", "account holder and the time they met: 20240115", "account", "iban ", "account no"):
+        assert account(text) == [], text
+
+
 def test_query_rows(spark):
     rows = pii.detect(frame(spark)).collect()
     assert len(rows) == len(documents()) and all(r["spans"] == "" for r in rows)
