@@ -241,7 +241,9 @@ def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.n
     """Entries by word, then size, copies of a set side by side with the earliest first; which are later copies, and of which entry."""
     c = _load(table)
     key, _, size, parity, sethash, doc, line = c[:7]
-    both = (key.astype(np.uint64) << np.uint64(32)) | (np.minimum(size, 0xFFFF).astype(np.uint64) << np.uint64(16)) | (sethash >> np.uint32(16))
+    # Sizes that 16 bits do not hold are ties, ordered below by the true size.
+    top = np.where(size < 0xFFFF, sethash >> np.uint32(16), np.uint32(0)).astype(np.uint64)
+    both = (key.astype(np.uint64) << np.uint64(32)) | (np.minimum(size, 0xFFFF).astype(np.uint64) << np.uint64(16)) | top
     order = np.argsort(both)
     tied = both[order][1:] == both[order][:-1]
     at = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import line_dedup
@@ -58,3 +60,13 @@ def test_other_thresholds(spark, t):
 def test_empty(spark):
     out = line_dedup.dedup(empty(spark))
     assert out.collect() == [] and set(empty(spark).columns) < set(out.columns)
+
+
+def test_sizes_beyond_16_bits():
+    sizes, hashes = [70_000, 100_000, 70_010, 9, 65_535], [1 << 16, 2 << 16, 3 << 16, 4 << 16, 5 << 16]
+    n = len(sizes)
+    columns = [np.array(x, d) for x, d in zip(([7] * n, [0] * n, sizes, [0] * n, hashes, range(n), [0] * n, [0] * n, [0] * n, [0] * n), line_dedup.ENTRY, strict=True)]
+    table = pa.Table.from_batches(line_dedup._pack_entries([[np.zeros(n, np.int64), *columns]]))
+    assert line_dedup._sorted_entries(table)[0][2].tolist() == sorted(sizes)
+    out = line_dedup._propose(table, 0.8)
+    assert (2, 0) in {(b["doc"], a["doc"]) for b, a in zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True)}
