@@ -162,20 +162,21 @@ def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, m
     """A bounded training set: ``per_lang`` documents of each language, ``per_doc`` windows of each.
 
     Different texts are chosen by least hash, among those whose hash is so low that
-    about four times ``per_lang`` rows are left, and the windows lie evenly over a
+    about four times ``per_lang`` different ones are left, and the windows lie evenly over a
     text; at most ``most_langs`` languages of most documents are learned.  These are
     bounds of the sample, not of what is scored.
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("lang", "text").where(_has_letter())
-    top = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    top = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(top)
     size = F.octet_length("text")
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(per_doc - 1)),
         lambda i: F.substring(F.col("text"), (i * F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(per_doc - 1, 1)).cast("int") + 1, F.lit(WINDOW)),
     )
-    # Hashes below a share of their range that holds some four times as many rows as are wanted.
-    share = {k: min(1.0, 4 * per_lang / n) for k, n in top.items()}
+    # Hashes below a share of their range that holds some four times as many different texts as are wanted; copies have one hash.
+    share = {k: min(1.0, 4 * per_lang / max(n, 1)) for k, n in top.items()}
     low = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]) if share else F.create_map(F.lit(""), F.lit(0.0))
     hashed = rows.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("text"))
     few = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 < low[F.col("lang")]).select("lang", "h", size.alias("size"), F.array_distinct(pieces).alias("pieces"))

@@ -77,3 +77,11 @@ def test_capitals():
     for upper, lower in (("ÀÉÑÞ×", "àéñþ×"), ("CIÓN", "ción")):
         u, v = (np.frombuffer(t.encode(), np.uint8) for t in (upper, lower))
         assert (langid.cut_windows(u, np.array([0, len(u)]))[0] == langid.cut_windows(v, np.array([0, len(v)]))[0]).all()
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    text = "concat('text number ', {} , ' of many words that fill a window')"
+    copies = spark.range(4000).selectExpr("CASE WHEN id < 1000 THEN 'a' ELSE 'b' END AS lang", text.format("'one'") + " AS text")
+    others = spark.range(520).selectExpr("CASE WHEN id < 500 THEN 'a' ELSE 'b' END AS lang", text.format("id") + " AS text")
+    _, y, langs = langid.sample_windows(copies.unionByName(others), per_lang=10, per_doc=1)
+    assert langs == ["a", "b"] and np.bincount(y, minlength=2).tolist() == [10, 10]
