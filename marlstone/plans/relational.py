@@ -407,6 +407,13 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(ascii_only).select("p_partkey", F.upper("p_name").alias("up"), F.levenshtein("p_brand", F.lit("Brand#11")).cast("long").alias("distance"))
 
 
+@query("c3_case_distance_documents")
+def c3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the texts of all documents; no SQL, as engines differ beyond ASCII."""
+    head = F.substring("text", 1, 40)
+    return table(spark, d, "documents").select("doc_id", F.upper("text").alias("up"), F.levenshtein(head, F.upper(head)).cast("long").alias("distance"))
+
+
 @query("c4_regex_url", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages")
 def c4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))

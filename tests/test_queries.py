@@ -42,3 +42,18 @@ def test_entry(spark, sf_dir):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["k2_vector_topk"](spark, sf_dir).count() > 0
+
+
+def test_case_and_distance_beyond_ascii(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = ["straße", "ÀÉ naïve ciónes", "plain ascii", "日本語 a", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["up"], r["distance"]) for r in QUERIES["c3_case_distance_documents"](spark, str(tmp_path)).collect()}
+    assert got == {k: (None, None) if t is None else (t.upper(), distance(t[:40], t[:40].upper())) for k, t in enumerate(texts)}
