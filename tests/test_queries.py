@@ -44,6 +44,28 @@ def test_entry(spark, sf_dir):
     assert e.queries()["k2_vector_topk"](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("gone", [("marlstone.llm",), ("corpus_pipeline",), ("marlstone.llm", "corpus_pipeline")])
+def test_entry_without_optional_parts(monkeypatch, gone):
+    import sys
+
+    import __spark_entry__ as e
+
+    class Hidden:
+        def find_spec(self, name, path=None, target=None):
+            if name.startswith(gone):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    import marlstone
+
+    monkeypatch.delattr(marlstone, "llm", raising=False)
+    for name in [m for m in sys.modules if m.startswith(("marlstone.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
+    found = e.queries()
+    assert set(QUERIES) <= set(found) and set(e.oracle_sql()) <= set(found)
+    assert "pipeline" not in found and ("marlstone.llm" in gone) == (set(found) == set(QUERIES))
+
+
 def test_case_and_distance_beyond_ascii(spark, tmp_path):
     def distance(a, b):
         row = list(range(len(b) + 1))
