@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cluster import connected, cut, release, small_batches, tidy
 from .wordcodes import gather
-from .wordtable import chunks, mix, order_by, range_hash, runs
+from .wordtable import hash_chunks, mix, order_by, runs, sequence_hash
 
 
 @dataclass(frozen=True)
@@ -71,16 +71,18 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     return out
 
 
-def shingles(t, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, ascending, and where each document's begin; fewer words than a shingle has are one shingle."""
-    h = t.word_hashes()
-    first, keys = runs(h, t.offsets, words)
-    doc = np.searchsorted(t.offsets, first, side="right") - 1
-    n = np.diff(t.offsets)
+def shingles(h: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, ascending, and where each document's begin; fewer words than a shingle has are one shingle.
+
+    h: hashes of words; offsets: the first word of each document.
+    """
+    first, keys = runs(h, offsets, words)
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    n = np.diff(offsets)
     short = np.flatnonzero((n > 0) & (n < words))
     if len(short):
         doc = np.concatenate((doc, short))
-        keys = np.concatenate((keys, range_hash(h, t.offsets[short], t.offsets[short + 1])))
+        keys = np.concatenate((keys, sequence_hash(h, offsets[short], offsets[short + 1])))
     order = order_by(doc, keys)
     doc, keys = doc[order], keys[order]
     new = np.ones(len(doc), bool)
@@ -135,8 +137,8 @@ def _sign(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
     for batch in batches:
         rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), seen)
         batch = batch.take(pa.array(rows))
-        for a, b, t in chunks(batch.column(2)):
-            keys, at = shingles(t, s.words)
+        for a, b, h, offsets in hash_chunks(batch.column(2)):
+            keys, at = shingles(h, offsets, s.words)
             full = np.flatnonzero(np.diff(at))
             if not len(full):
                 continue
@@ -219,8 +221,8 @@ def _shingled(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
     for batch in batches:
         rows = _unique_rows(batch.column(0).to_numpy(), batch.column(1).to_numpy(), seen)
         batch = batch.take(pa.array(rows))
-        for a, b, t in chunks(batch.column(3)):
-            keys, at = shingles(t, s.words)
+        for a, b, h, offsets in hash_chunks(batch.column(3)):
+            keys, at = shingles(h, offsets, s.words)
             full = np.flatnonzero(np.diff(at))
             if not len(full):
                 continue

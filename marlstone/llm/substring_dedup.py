@@ -5,7 +5,7 @@ blocks of its documents, aligned to multiples of ``width // 2`` words, and probe
 the index of all parts with every rolling window of that size.  Any repeat of
 ``width`` words holds an aligned block of its earlier place whole, so each repeat
 hits.  Hits are extended: all windows of ``width`` words around a hit are compared
-across parts by 96 bits of hash, and those that start earlier elsewhere are
+across parts by 128 bits of hash, and those that start earlier elsewhere are
 repeats; overlapping ones join to maximal repeats.
 
 Between parts and the buckets of the index travel sorted, distinct, packed
@@ -69,7 +69,10 @@ class Part:
             yield ANCHOR, part, bucket, b - a, pack(keys, aligned[a:b], twice[a:b])
 
     def extend(self, replies: dict[int, bytes]) -> None:
-        """Windows of full width around the hits; equal ones of the part are one entry."""
+        """Windows of full width around the hits; equal ones of the part are one entry.
+
+        Two windows are equal if 128 bits are: 64 of one hash of words and of runs, 64 of another.
+        """
         hit = _answers(self.keys >> np.uint64(32), replies)[self.key_of]
         total = np.zeros(len(self.words) + 1, np.int64)
         total[self.anchor_first + 1] = hit
@@ -77,8 +80,7 @@ class Part:
         first, self.h1 = runs(self.words, self.offsets, self.width)
         near = total[first + self.width - self.width // 2 + 1] > total[first]
         self.first, self.h1 = first[near], self.h1[near]
-        _, h2 = runs(self.words, self.offsets, self.width, 1)
-        self.h2 = (h2[near] >> np.uint64(32)).astype(np.uint32)
+        self.h2 = runs(hashed(self.text, 1)[0], self.offsets, self.width, 1)[1][near] if near.any() else self.h1
         bucket = self.h1 & ((np.uint64(1) << self.bucket_bits) - np.uint64(1))
         order = np.lexsort((self.first, self.h2, self.h1, bucket))
         b, x, y = bucket[order], self.h1[order], self.h2[order]
@@ -173,7 +175,7 @@ def _settle_anchors(messages: pa.Table) -> pa.Table:
 
 def _settle_windows(messages: pa.Table) -> pa.Table:
     """A window of a part is a later one if another part has it under a smaller id."""
-    (h1, h2, owner), at = _join(messages, np.uint64, np.uint32, np.int64)
+    (h1, h2, owner), at = _join(messages, np.uint64, np.uint64, np.int64)
     order = np.lexsort((owner, h2, h1))
     x, y, o = h1[order], h2[order], owner[order]
     starts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))

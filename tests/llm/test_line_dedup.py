@@ -41,7 +41,7 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "OPEN_BLOCK": 3}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_MB": 1e-5}])
+@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "SLOT_BITS": 15}, {"SURE": 2.0, "NEAREST": 0, "ENOUGH": 1, "INDEX_ROWS": 5}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_MB": 1e-5}])
 def test_against_all_pairs(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(line_dedup, k, v)
@@ -70,3 +70,58 @@ def test_sizes_beyond_16_bits():
     assert line_dedup._sorted_entries(table)[0][2].tolist() == sorted(sizes)
     out = line_dedup._propose(table, 0.8)
     assert (2, 0) in {(b["doc"], a["doc"]) for b, a in zip(out["b"].to_pylist(), out["a"].to_pylist(), strict=True)}
+
+
+def test_lines_of_equal_hash_sums_are_told_apart(spark):
+    from tests.llm.test_wordtable import TWINS
+
+    rows = [(1, TWINS[0][0], None, None, 0, "", 0, "", 0), (2, TWINS[0][1] + "\nq r s", None, None, 0, "", 0, "", 0), (3, TWINS[0][0], None, None, 0, "", 0, "", 0)]
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup(frame(spark, rows)).collect())
+    assert got == expected(rows)
+
+
+def test_short_lines_that_share_a_32_bit_hash():
+    """Of copies by size, word, parity and the 32 bits, those whose second hash differs are no copies."""
+    n = 3
+    columns = [np.array(x, d) for x, d in zip(([7] * n, [0] * n, [1] * n, [5] * n, [9] * n, range(n), [0] * n, [1, 2, 1], [0] * n, [0] * n), line_dedup.ENTRY, strict=True)]
+    out = line_dedup._propose(pa.Table.from_batches(line_dedup._pack_entries([[np.zeros(n, np.int64), *columns]])), 0.8)
+    assert [(b["doc"], a["doc"]) for b, a, e in zip(out["b"].to_pylist(), out["a"].to_pylist(), out["equal"].to_pylist(), strict=True) if e] == [(2, 0)]
+
+
+@pytest.mark.parametrize("common", [7, 8, 20])
+def test_template_lines_cost_no_square(common):
+    """One line a document that differs in one word: under a template word, 30,000 entries are settled in seconds."""
+    import time
+
+    shared = [f"t{k}" for k in range(common)]
+    text = pa.array([" ".join([*shared, f"x{i}"]) for i in range(30_000)])
+    rank = np.arange(1 << line_dedup.RANK_BITS, dtype=np.uint64)[::-1].copy()
+    for _, _, t in line_dedup.chunks(pa.array([" ".join(shared)])):  # the template's words are the most frequent ones
+        at = (t.word_hashes() & np.uint64((1 << line_dedup.RANK_BITS) - 1)).astype(np.int64)
+        rank[at] = np.arange(len(rank) - len(at), len(rank), dtype=np.uint64)
+    parts = [line_dedup._entries(np.arange(a, b), line_dedup.Lines(t, rank), 0.8, 0)[:-2] for a, b, t, _ in line_dedup.tables(text)]
+    table = pa.Table.from_batches(line_dedup._pack_entries(parts))
+    began = time.perf_counter()
+    out = line_dedup._propose(table, 0.8)
+    assert time.perf_counter() - began < 20
+    late = {b["doc"] for b in out["b"].to_pylist()}
+    assert len(late) == (29_999 if common >= 8 else 0)
+
+
+def test_pieces_of_long_texts_have_the_lines_of_the_whole(monkeypatch):
+    r = random.Random(4)
+    texts = ["\n".join(" ".join(r.choices(["a", "b", "c", "d"], k=r.randint(0, 6))) for _ in range(20)), None, "x", "\n\n", "a b\nc d\n"]
+    rank = np.arange(1 << line_dedup.RANK_BITS, dtype=np.uint64)
+    found = []
+    for most in (10**6, 15):
+        lines = [(a + int(d), int(n), int(z)) for a, _, t, base in _tables_of(monkeypatch, texts, most) for x in [line_dedup.Lines(t, rank, base=base)] for d, n, z in zip(x.doc, x.line, x.hash, strict=True)]
+        found.append(sorted(lines))
+    assert found[0] == found[1] and len(found[0]) == sum(bool(words(x)) for t in texts if t for x in t.split("\n"))
+
+
+def _tables_of(monkeypatch, texts, most):
+    original = line_dedup.chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda column, cut_at: original(column, most, cut_at))
+    out = list(line_dedup.tables(pa.array(texts)))
+    monkeypatch.undo()
+    return out
