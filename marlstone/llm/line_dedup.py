@@ -171,7 +171,7 @@ def slots(keys: np.ndarray) -> np.ndarray:
 
 
 #: Lines of more words than this carry 256 parity bits: three parts beside ``parity``, which is all four folded.
-#: Shorter ones have a second hash of their set in the place of the first part, 64 bits, sent with the rarest word only.
+#: Shorter ones have a second hash of their set in the place of the first part, 64 bits, of which 32 are sent with all but the rarest word.
 LONG = 96
 #: key, pos, size, parity, hash, doc, line, and the parts of a long line's parity.
 ENTRY = (np.uint32, np.uint16, np.uint32, np.uint64, np.uint32, np.int64, np.int32, np.uint64, np.uint64, np.uint64)
@@ -202,7 +202,7 @@ def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np
     word = lines.keys[lines.first[line] + pos]
     bucket, key = _spread(word, bucket_bits)
     wide = lines.wide[:, line]
-    wide[0, (pos > 0) & (lines.size[line] <= LONG)] = 0
+    wide[0, (pos > 0) & (lines.size[line] <= LONG)] &= np.uint64(0xFFFFFFFF)
     return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line], *wide, line, word]
 
 
