@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import url_lists
@@ -20,7 +22,7 @@ def captures(spark, rows):
 
 
 def test_host(spark):
-    urls = {"http://A.Example.com/x": "a.example.com", "https://u:p@h.org:81/": "h.org", "http://h.org.?q": "h.org", "mailto:x": None, None: None, "": None, "http:///x": None}
+    urls = {"http://A.Example.com/x": "a.example.com", "https://u:p@h.org:81/": "h.org", "http://h.org.?q": "h.org", "mailto:x": None, None: None, "": None, "http:///x": None, "http://[2001:DB8::1]:80/a": "[2001:db8::1]", "http://u@[::1]/": "[::1]", "http://[::1": None, "http://10.0.0.1:8/": "10.0.0.1"}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(url_lists.host(F.col("u"))).collect()] == list(urls.values())
 
@@ -46,3 +48,34 @@ def test_empty(spark):
     none = entries(spark, [])
     assert url_lists.evaluate(captures(spark, []), none).count() == 0
     assert url_lists.evaluate(captures(spark, [(1, "http://a.b/", day(1), "", "", "")]), none).first()["blocked"] is False
+
+
+def test_addresses_have_no_parents(spark):
+    e = entries(spark, [("spam", "0.1", True, day(0), 1), ("spam", "[2001", True, day(0), 2), ("adult", "[::1]", True, day(0), 3)])
+    c = captures(spark, [(1, "http://10.0.0.1/", day(1), "", "", ""), (2, "http://[2001:db8::1]/", day(1), "", "", ""), (3, "https://[::1]:8080/x", day(1), "", "", "")])
+    assert {r["page_id"]: r["categories"] for r in url_lists.evaluate(c, e).collect()} == {1: None, 2: None, 3: "adult"}
+
+
+@pytest.mark.parametrize("per_task", [7, 10**6])
+def test_long_history_and_hot_domain(spark, per_task):
+    """A thousand changes of one domain in two categories, and many captures of it, against a loop; no join multiplies by the history."""
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b"]), r.choice(["hot.com", "hot.com", "hot.com", "sub.hot.com", "x.org"]), r.random() < 0.5, day(k // 2), k) for k in range(1000)]
+    caps = [(k, f"http://{r.choice(['hot.com', 'sub.hot.com', 'deep.sub.hot.com', 'x.org', 'y.org'])}/", day(r.randrange(-5, 510)) + dt.timedelta(hours=r.choice([0, 5])), "", "", "") for k in range(400)]
+    want = []
+    for i, url, at, *_ in caps:
+        name = url.split("/")[2]
+        found = []
+        for d in {".".join(name.split(".")[k:]) for k in range(len(name.split(".")) - 1)}:
+            for cat in ("a", "b"):
+                state, since = False, None
+                times = sorted({t for c, dom, _, t, _ in rows if (c, dom) == (cat, d)})
+                for t in times:
+                    now = any(on for c, dom, on, u, _ in rows if (c, dom, u) == (cat, d, t))
+                    if t <= at and now != state:
+                        state, since = now, t
+                if state:
+                    found.append((cat, since))
+        want.append((i, len(found), ",".join(sorted({c for c, _ in found})) or None, min((t for _, t in found), default=None)))
+    out = url_lists.evaluate(captures(spark, caps), entries(spark, rows), per_task=per_task)
+    assert sorted((x["page_id"], x["n_matches"], x["categories"], x["active_since"]) for x in out.collect()) == want
