@@ -8,17 +8,16 @@ share a bucket, each gets a number of its own.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import cut
 
-#: Bytes up to which the hashes of shared buckets are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
-_BUCKET_BYTES = 64
+#: Bits at most of the table of flags that tells which texts are read again; 16 MB when broadcast, whatever the input's size.
+MOST_BITS = 1 << 27
+#: Cells at most, and ids sampled for each to place them; what a cell holds beyond memory is sorted on disk.
+MOST_CELLS, SAMPLED = 4096, 64
 
 
 def _static(cls: str, method: str, *args: Column) -> Column:
@@ -51,6 +50,12 @@ def digest(text: Column) -> Column:
     return _bucket(*_hashes(canonical(text)))
 
 
+def _digested(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the digest of a text; the canonical text is a column for a while, so that it is worked out once."""
+    canon = f"__fp_{name}"
+    return rows.withColumn(canon, canonical(F.col(text))).withColumn(name, _bucket(*_hashes(F.col(canon)))).drop(canon)
+
+
 def fingerprint(texts: DataFrame, text_col: str = "text", bucket_of=_bucket) -> DataFrame:
     """``texts`` with a ``fingerprint`` column, equal just where canonical texts are equal.
 
@@ -67,18 +72,13 @@ def fingerprint(texts: DataFrame, text_col: str = "text", bucket_of=_bucket) ->
     mine = texts.withColumn("__fp_canon", canonical(F.col(text_col)))
     mine = mine.withColumn("__fp_bucket", bucket_of(*_hashes(F.col("__fp_canon"))))
     stacked = mine.select(F.col("__fp_bucket").alias("bucket"), F.col("__fp_canon").alias("canon"))
-    numbers = collisions(stacked, stacked.select("bucket"))
+    numbers = collisions(stacked.join(_shared(stacked.select("bucket")), "bucket", "left_semi"))
     return _numbered(mine, numbers, "__fp_bucket", "__fp_canon", "fingerprint").drop("__fp_bucket", "__fp_canon")
 
 
-def collisions(rows: DataFrame, buckets: DataFrame, shared: DataFrame | None = None) -> DataFrame | None:
-    """Numbers of different texts that share a bucket, or None if there are none.
-
-    rows: ``bucket, canon``; buckets: the ``bucket`` column of the same rows, given
-    apart as it can often be had without the texts.
-    """
-    members = _few_join(rows, _shared(buckets) if shared is None else shared)
-    texts = members.groupBy("bucket", "canon").agg(F.count(F.lit(1)).alias("n"))
+def collisions(rows: DataFrame) -> DataFrame | None:
+    """Numbers of different texts that share a bucket, or None if there are none. rows: ``bucket, canon``, all members of shared buckets, maybe others."""
+    texts = rows.groupBy("bucket", "canon").agg(F.count(F.lit(1)).alias("n"))
     mixed = cut(texts.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("bucket"))
     if not mixed.take(1):
         return None
@@ -90,10 +90,21 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
 
 
-def _few_join(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows of a shared bucket; the buckets are broadcast if a count shows that they are few."""
-    small = shared.count() * _BUCKET_BYTES <= BROADCAST_BYTES
-    return rows.join(F.broadcast(shared) if small else shared, "bucket", "left_semi")
+def _flagged(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows whose key (long) is among ``keys`` (column ``key``), and a few others.
+
+    Hashes of the keys set bits in a table of 16 bits a key, at most ``MOST_BITS``,
+    which is broadcast in rows of 4 KB; the more keys beyond, the more other rows.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    table = keys.select(slot(F.col("key")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__fp_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__fp_bits"))
+    asked = rows.withColumn("__fp_slot", slot(key)).withColumn("__fp_row", F.bitmap_bucket_number("__fp_slot"))
+    place = F.bitmap_bit_position("__fp_slot")
+    byte = F.conv(F.hex(F.substring(F.col("__fp_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = asked.join(F.broadcast(table), "__fp_row").where(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return met.drop("__fp_row", "__fp_slot", "__fp_bits")
 
 
 def _numbered(rows: DataFrame, numbers: DataFrame | None, bucket: str, canon: str, name: str) -> DataFrame:
@@ -104,31 +115,67 @@ def _numbered(rows: DataFrame, numbers: DataFrame | None, bucket: str, canon: st
     return rows.join(n, [bucket, canon], "left").withColumn(name, F.concat(bucket, suffix)).drop("__fp_number")
 
 
-def with_next(docs: DataFrame, payload: list[str], id_col: str = "doc_id", per_cell: int = 1024) -> DataFrame:
+def _bounds(values: DataFrame, cells: int, rows: int) -> list[int]:
+    """Ascending values of column ``v`` that part it into about equal cells, by a sample of ``SAMPLED`` a cell; several equal ones if a value fills cells."""
+    if cells < 2:
+        return []
+    some = values.sample(min(1.0, SAMPLED * cells / max(rows, 1)), 7)
+    return some.agg(F.percentile_approx("v", [k / cells for k in range(1, cells)], 10 * cells)).first()[0] or []
+
+
+def _at(value: Column, bounds: list[int]) -> Column:
+    """How many of the bounds are at most ``value``, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    steps = len(bounds).bit_length()
+    padded = bounds + [(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))
+    table = F.expr(f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775808)' for b in padded)})")
+    found = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), lambda low, step: F.when(F.element_at(table, low + step) <= value, low + step).otherwise(low))
+    return F.least(found, F.lit(len(bounds)))
+
+
+def with_next(docs: DataFrame, payload: list[str], id_col: str = "doc_id", per_cell: int = 1024, derive=lambda rows: rows) -> DataFrame:
     """``id_col`` and payload of every row, and ``next_<name>`` of the next row in descending id.
 
     After the last row comes the first.  Rows of one id follow each other by
-    ascending payload, null ids come last.  Ids are dealt by value into cells of about
-    ``per_cell`` rows, or the root of the row count if that is more; each cell is
-    ordered by itself, and only the first row of each crosses to its neighbour: no
-    step orders all rows in one task.
+    ascending payload, null ids come last; the first payload column is a string.
+    Ids are dealt into cells of about ``per_cell`` rows, ``MOST_CELLS`` at most, by
+    quantiles of a sample, so that their distribution does not matter; an id, or
+    null, that fills several cells is dealt further by the first bytes of the
+    payload.  Each cell is ordered by itself, and only the first row of each
+    crosses to its neighbour: no step orders all rows in one task.  Places depend
+    on the order alone, not on the sample.  ``derive`` adds columns that rows carry along; it is
+    applied to each row once, and to the first rows of cells.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    low, high = (low or 0), (high or 0)
-    width = max(1, -(-(high - low + 1) * max(per_cell, math.isqrt(n)) // max(n, 1)))
+    n, known = docs.agg(F.count(F.lit(1)), F.count(id_col)).first()
+    cells = int(min(MOST_CELLS, max(1, -(-n // per_cell))))
+    ids = docs.select(F.col(id_col).cast("long").alias("v"))
+    bounds = _bounds(ids.where("v IS NOT NULL"), cells, known)
+    hot = sorted({a for a, b in zip(bounds[:-1], bounds[1:], strict=True) if a == b})
+    crowded = (F.col(id_col).isin(hot) if hot else F.lit(False)) | (F.col(id_col).isNull() if (n - known) * cells > 2 * n else F.lit(False))
+    head = F.conv(F.rpad(F.hex(F.substring(F.col(payload[0]).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    inner: list[int] = []
+    if hot or (n - known) * cells > 2 * n:
+        inner = _bounds(docs.where(crowded).select(head.alias("v")), cells, n)
+        inner = sorted(set(inner))
+    part = F.when(crowded, _at(head, inner)).otherwise(-1)
+    cell = F.coalesce(_at(F.col(id_col).cast("long"), bounds), F.lit(-1)) if bounds else F.when(F.col(id_col).isNull(), -1).otherwise(0)
+    cell = F.when(F.col(id_col).isNull(), -1).otherwise(cell).cast("long") * (len(inner) + 2) + (len(inner) - part)
+    rows = docs.select(F.col(id_col), *payload, cell.alias("__fp_cell"))
     order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in payload]]
-    cell = F.coalesce(F.expr(f"(cast({id_col} AS decimal(20, 0)) - {low}) div {width}"), F.lit(-1).cast("long"))
-    rows = docs.select(F.col(id_col), *payload, cell.alias("cell"))
-    inside = W.partitionBy("cell").orderBy(*order)
-    ahead = F.struct(*[F.col(c) for c in payload])
-    placed = rows.withColumns({"place": F.row_number().over(inside), "ahead": F.lead(ahead).over(inside)})
-    firsts = placed.where("place = 1").select("cell", ahead.alias("head"))
-    down = W.orderBy(F.col("cell").desc())
-    top = F.first("cell").over(down.rowsBetween(W.unboundedPreceding, 0))
-    cells = rows.select("cell").distinct().select("cell", F.coalesce(F.lead("cell").over(down), top).alias("target"))
-    heads = cells.join(firsts.withColumnRenamed("cell", "target"), "target").select("cell", "head")
-    chosen = F.coalesce("ahead", "head")
-    return placed.join(heads, "cell").select(id_col, *payload, *[chosen[c].alias(f"next_{c}") for c in payload])
+    inside = W.partitionBy("__fp_cell").orderBy(*order)
+    carried = derive(rows)
+    names = [c for c in carried.columns if c not in (id_col, "__fp_cell")]
+    ahead = F.struct(*[F.col(c) for c in names])
+    placed = carried.withColumn("__fp_ahead", F.lead(ahead).over(inside))
+    firsts = derive(rows.withColumn("__fp_place", F.row_number().over(inside)).where("__fp_place = 1").drop("__fp_place"))
+    firsts = firsts.select(F.col("__fp_cell").alias("target"), ahead.alias("__fp_head"))
+    down = W.orderBy(F.col("__fp_cell").desc())
+    top = F.first("__fp_cell").over(down.rowsBetween(W.unboundedPreceding, 0))
+    links = rows.select("__fp_cell").distinct().select("__fp_cell", F.coalesce(F.lead("__fp_cell").over(down), top).alias("target"))
+    heads = links.join(firsts, "target").select("__fp_cell", "__fp_head")
+    chosen = F.coalesce("__fp_ahead", "__fp_head")
+    return placed.join(heads, "__fp_cell").select(id_col, *names, *[chosen[c].alias(f"next_{c}") for c in names])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -146,14 +193,15 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     than ``doc_id`` and ``text`` are ignored; repeated rows give repeated results.
 
     Texts are shuffled once, to meet their successors; what leaves that stage has
-    no texts.  The comparison of bytes inside shared buckets reads them again, but
-    only of the members: own texts from the scan, edited texts by (id, raw hash)
-    of the two documents they are made of.
+    no texts.  Each text and each edited text is made canonical once.  The comparison
+    of bytes inside shared buckets reads texts again, but moves only those of the
+    members: own texts from the scan, edited texts by (id, raw hash) of the two
+    documents they are made of.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("raw"))
-    pairs = with_next(base.withColumns({"bucket": digest(F.col("text")), "id": F.col("doc_id")}), ["text", "raw", "bucket", "id"])
-    pairs = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_bucket", digest(F.col("edited")))
+    pairs = with_next(base.withColumn("id", F.col("doc_id")), ["text", "raw", "id"], derive=lambda rows: _digested(rows, "text", "bucket"))
+    pairs = _digested(pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))), "edited", "edited_bucket")
     like_next = F.when(F.col("bucket") == F.col("next_bucket"), canonical(F.col("text")) == canonical(F.col("next_text"))).otherwise(False)
     unchanged = F.when(F.col("bucket") == F.col("edited_bucket"), canonical(F.col("text")) == canonical(F.col("edited"))).otherwise(False)
     keys = ["doc_id", "raw", "next_id", "next_raw"]
@@ -162,17 +210,18 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         like_next.cast("double").alias("near_next"), unchanged.alias("unchanged"),
     ))
     other = F.when(~F.col("unchanged"), F.col("edited_bucket"))
-    buckets = sheet.select(F.explode(F.array("bucket", other)).alias("bucket")).where("bucket IS NOT NULL")
-    own = base.select("doc_id", "raw", digest(F.col("text")).alias("bucket"), canonical(F.col("text")).alias("canon"))
-    shared = _shared(buckets)
-    made = _few_join(sheet.where(~F.col("unchanged")).withColumnRenamed("bucket", "own_bucket").withColumnRenamed("edited_bucket", "bucket"), shared)
+    shared = _shared(sheet.select(F.explode(F.array("bucket", other)).alias("bucket")).where("bucket IS NOT NULL"))
+    mine = sheet.join(shared, "bucket", "left_semi").select(F.col("raw").alias("key")).distinct()
+    own = _flagged(base, F.col("raw"), cut(mine)).select("doc_id", "raw", canonical(F.col("text")).alias("canon"))
+    own = own.select("doc_id", "raw", _bucket(*_hashes(F.col("canon"))).alias("bucket"), "canon")
+    made = sheet.where(~F.col("unchanged")).select(*keys, F.col("edited_bucket").alias("bucket")).join(shared, "bucket", "left_semi")
     made = _edited_texts(base, made.select(*keys, "bucket").distinct())
-    numbers = collisions(own.select("bucket", "canon").unionByName(made.select("bucket", "canon")), buckets, shared)
+    numbers = collisions(own.select("bucket", "canon").unionByName(made.select("bucket", "canon")))
     out = sheet.withColumns({"fingerprint": F.col("bucket"), "edited_fingerprint": F.col("edited_bucket")})
     if numbers is not None:
         suffix = lambda n: F.when(F.col(n) > 1, F.concat(F.lit("-"), F.col(n).cast("string"))).otherwise("")
-        mine = own.join(numbers, ["bucket", "canon"]).select("doc_id", "raw", F.col("number").alias("own_number")).distinct()
         theirs = made.join(numbers, ["bucket", "canon"]).select(*keys, F.col("number").alias("made_number")).distinct()
+        mine = own.join(numbers, ["bucket", "canon"]).select("doc_id", "raw", F.col("number").alias("own_number")).distinct()
         out = _null_safe_left(_null_safe_left(out, mine, ["doc_id", "raw"]), theirs, keys)
         out = out.withColumn("made_number", F.when(F.col("unchanged"), F.col("own_number")).otherwise(F.col("made_number")))
         out = out.withColumns({"fingerprint": F.concat("bucket", suffix("own_number")), "edited_fingerprint": F.concat("edited_bucket", suffix("made_number"))})
@@ -188,9 +237,8 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def _edited_texts(base: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges with ``canon``, the canonical edited text of each."""
     edges = cut(edges)
-    ids = edges.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()
-    near = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-    texts = base.join(near, base["doc_id"].eqNullSafe(near["id"]), "left_semi")
+    raws = cut(edges.select(F.explode(F.array("raw", "next_raw")).alias("key")).distinct())
+    texts = _flagged(base, F.col("raw"), raws)
     first = texts.select(F.col("doc_id").alias("d1"), F.col("raw").alias("r1"), F.col("text").alias("t1")).distinct()
     second = texts.select(F.col("doc_id").alias("d2"), F.col("raw").alias("r2"), F.col("text").alias("t2")).distinct()
     both = edges.join(first, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("raw") == F.col("r1"))).join(second, F.col("next_id").eqNullSafe(F.col("d2")) & (F.col("next_raw") == F.col("r2")))

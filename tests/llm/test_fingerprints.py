@@ -52,7 +52,7 @@ def expected(rows):
 def test_edit_likeness(spark, monkeypatch):
     for per_cell in (2, 1024):
         original = fp.with_next
-        monkeypatch.setattr(fp, "with_next", lambda docs, payload, f=original, n=per_cell: f(docs, payload, per_cell=n))
+        monkeypatch.setattr(fp, "with_next", lambda docs, payload, f=original, n=per_cell, **more: f(docs, payload, per_cell=n, **more))
         got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in fp.edit_likeness(frame(spark)).collect()]
         monkeypatch.undo()
         assert sorted(got) == expected(documents())
@@ -67,10 +67,37 @@ def test_one_row_and_no_rows(spark):
 
 def test_collisions_in_the_edited_texts(spark, monkeypatch):
     """All digests equal: fingerprints must still tell all texts apart."""
-    monkeypatch.setattr(fp, "digest", lambda text: F.substring(fp._bucket(*fp._hashes(fp.canonical(text))), 1, 0))
+    monkeypatch.setattr(fp, "_bucket", lambda h1, h2: F.when(h1 == h2, "never").otherwise("same"))
     rows = fp.edit_likeness(frame(spark)).collect()
     texts = {}
     for r in rows:
         texts.setdefault(r["edited_fingerprint"], set()).add(r["edited_sha256"])
     assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in rows) == expected(documents())
     assert len({r["fingerprint"] for r in rows} | set(texts)) > 10
+
+
+def test_cells_follow_the_ids(spark):
+    """One far id, a crowded one and nulls: cells stay small, places are those of the order."""
+    rows = [(i, f"text {i * 7919 % 1000}") for i in range(1500)] + [(1 << 62, "far"), (-(1 << 63), "least")]
+    rows += [(700, f"{i * 31 % 1009:04d} crowded") for i in range(1000)] + [(None, f"{i * 17 % 1013:04d} none") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    original = fp.with_next
+
+    def seen(docs, payload, **more):
+        return original(docs, payload, derive=lambda r: sizes.append(r.groupBy("__fp_cell").count().agg(F.max("count")).first()[0]) or r, **more)
+
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in seen(df, ["text"], per_cell=50).collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert max(sizes) <= 300
+
+
+def test_flags_let_all_members_through(spark, monkeypatch):
+    df = spark.range(5000)
+    keys = spark.range(0, 5000, 50).withColumnRenamed("id", "key")
+    kept = {r["id"] for r in fp._flagged(df, F.col("id"), keys).collect()}
+    assert set(range(0, 5000, 50)) <= kept and len(kept) < 1000
+    monkeypatch.setattr(fp, "MOST_BITS", 1 << 15)
+    assert set(range(0, 5000, 50)) <= {r["id"] for r in fp._flagged(df, F.col("id"), keys).collect()}
