@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import time
 
@@ -13,10 +14,18 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is named, as in tests."""
+    """The shared folder of the session.
+
+    Where none is named a temporary one is set in local mode, as in tests; on a
+    cluster that is an error, as executors would not share it.
+    """
     named = spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-checkpoint-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="marlstone-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -55,11 +64,21 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower the session's Arrow batch size to ``rows`` if it is larger: texts can be long, and a batch is held whole on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``mb`` MB if they are larger: texts can be long, and a batch is held whole on both sides.
+
+    A frame reads these settings when it runs, so they stay in the session.
+    """
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        number, unit = re.match(r"(-?\d+)([bkmg]?)", spark.conf.get(f"spark.sql.execution.arrow.{key}").lower()).groups()
+        if not 0 < int(number) << units.get(unit, 0) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: ``run`` sees them in order, called c0, c1 and so on."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def release() -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cluster import small_batches, tidy
+from .cluster import map_batches, small_batches, tidy
 from .wordtable import buffers
 
 WINDOW = 256
@@ -137,21 +137,35 @@ class Scorer:
 
 def cut_windows(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of each text, side by side, the last padded with zeros: bytes, text, length.  Capitals of ASCII and Latin-1 are made small."""
+    text, start, length = window_places(offsets, width)
+    return window_bytes(data, start, length, width), text, length
+
+
+def window_places(offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte and length of the windows of each text."""
     size = np.diff(offsets)
     counts = -(-size // width)
     text = np.repeat(np.arange(len(size)), counts)
     inside = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[text] + inside * width
-    length = np.minimum(width, offsets[text + 1] - start)
+    return text, start, np.minimum(width, offsets[text + 1] - start)
+
+
+def window_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """The windows' bytes, capitals made small; memory follows the windows, not the text they are of."""
+    if not len(start):
+        return np.zeros((0, width), np.uint8)
+    at = start[:, None] + np.arange(width)
+    x = data[np.minimum(at, len(data) - 1)]
+    before = np.empty_like(x)
+    before[:, 1:] = x[:, :-1]
+    before[:, 0] = data[np.maximum(start - 1, 0)]
+    before[start == 0, 0] = 0
     # Latin-1 capitals are xC3 x80-x9E but for x97 in UTF-8.
-    second = np.concatenate(([False], data[:-1] == 0xC3)) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97) if len(data) else np.zeros(0, bool)
-    small = data + np.where(second | ((data >= 65) & (data <= 90)), 32, 0).astype(np.uint8)
-    if not len(text):
-        return np.zeros((0, width), np.uint8), text, length
-    padded = np.concatenate((small, np.zeros(width, np.uint8)))
-    x = padded[start[:, None] + np.arange(width)]
+    second = (before == 0xC3) & (x >= 0x80) & (x <= 0x9E) & (x != 0x97)
+    x += np.where(second | ((x >= 65) & (x <= 90)), 32, 0).astype(np.uint8)
     x[np.arange(width) >= length[:, None]] = 0
-    return x, text, length
+    return x
 
 
 def _has_letter() -> Column:
@@ -198,16 +212,21 @@ def fit(labelled: DataFrame, **limits: int) -> Network:
     return train(*sample_windows(labelled, **limits))
 
 
-def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text, and the columns ``keep``.
 
     A null text, and one without letters, is ``und`` with score 0; so is all if no
     language was learned.  Other columns are ignored, repeated rows give repeated
-    results.  There is no shuffle; a window is scored alike wherever it stands.
+    results.  There is no shuffle; a window is scored alike wherever it stands, and
+    memory follows the windows at hand, not the length of a text.  ``prefix`` is
+    put before the names of the two results; a column to be kept must not have one of them.
     """
     small_batches(docs.sparkSession)
     columns = [c for c in keep if c != "doc_id"]
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) if columns else ""
+    results = [f"{prefix}lang_pred", f"{prefix}score"]
+    if taken := {c.lower() for c in columns} & {c.lower() for c in ("doc_id", *results)}:
+        raise ValueError(f"columns {sorted(taken)} have the name of a result; choose a prefix")
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in columns]).schema) if columns else ""
     step = 400  # windows at once
 
     @tidy
@@ -222,18 +241,20 @@ def predict(docs: DataFrame, net: Network, keep: tuple[str, ...] = ()) -> DataFr
             while scorer and row < n:
                 stop = max(row + 1, min(n, int(np.searchsorted(offsets, offsets[row] + step * WINDOW, side="right")) - 1))
                 part, base = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
-                x, text, length = cut_windows(part, base)
-                for k in range(0, len(x), step):
-                    p = scorer.windows(x[k : k + step]) * length[k : k + step, None]
-                    np.add.at(total, row + text[k : k + step], p)
-                    np.add.at(weight, row + text[k : k + step], length[k : k + step])
+                text, start, length = window_places(base)
+                for k in range(0, len(text), step):
+                    some = slice(k, k + step)
+                    p = scorer.windows(window_bytes(part, start[some], length[some])) * length[some, None]
+                    np.add.at(total, row + text[some], p)
+                    np.add.at(weight, row + text[some], length[some])
                 row = stop
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (weight > 0)
             best = np.where(letters, total.argmax(axis=1), -1)
             score = np.where(letters, total.max(axis=1) / np.maximum(weight, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), *batch.columns[3:]], names=["doc_id", "lang_pred", "score", *columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1)), *batch.columns[3:]], names=["doc_id", *results, *columns])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _has_letter().alias("letters"), *columns).mapInArrow(run, SCHEMA + fields)
+    schema = f"doc_id long, `{results[0]}` string, `{results[1]}` double{fields}"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", _has_letter(), *[F.col(f"`{c}`") for c in columns]), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, input_partitions, release, small_batches, tidy
+from .cluster import cut, input_partitions, map_batches, release, small_batches, tidy
 from .packing import pack, unpack
 from .wordtable import IS_SPACE, NEWLINE, Words, chunks, mix, order_by
 
@@ -399,7 +399,7 @@ def _propose(table: pa.Table, t: float) -> pa.Table:
 def _holding(docs: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
     """Documents with the ``lines`` of the places that lie in them, each as line * 2 ** 32 + hash; broadcast only if counted to be small."""
     packed = F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("hash"))
-    by_doc = places.groupBy("doc").agg(F.collect_set(packed).alias("lines"))
+    by_doc = places.groupBy("doc").agg(F.collect_set(packed).alias("__line_asked"))
     n_docs, n_lines = places.agg(F.approx_count_distinct("doc"), F.count(F.lit(1))).first()
     small = 72 * n_docs + 8 * n_lines <= BROADCAST_BYTES
     keyed = docs.withColumn("__line_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
@@ -544,7 +544,7 @@ def _grouped(f, t: float):
     return run
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with ``text`` less its later lines, and ``n_lines``, ``n_removed`` (long).
 
     Lines are split at ``\\n``; a line's set is of its words (runs of other bytes
@@ -553,7 +553,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are judged on the input, also against lines that go themselves.  Lines without
     words stay.  A null text stays null and has no lines; a null id comes after all
     others.  Lines at one place (rows of one id, same line number) do not remove
-    each other.  Other columns stay; ``n_lines`` and ``n_removed`` are replaced,
+    each other.  Other columns stay; those named like the two ``counts`` are replaced,
     names beginning with ``__line_`` are reserved.
 
     Sets are compared by 64-bit word hashes; sets equal in rarest word, size, parity
@@ -561,18 +561,18 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are taken for equal.
     """
     gone = similar_lines(docs, threshold)
-    others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_lines", "n_removed")]
-    shared = _holding(docs.select("doc_id", "text", *[F.col(f"`{f.name}`") for f in others]), gone, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lines", *[F.col(f"`{f.name}`") for f in others])
-    schema = ", ".join(["doc_id long, text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_lines long, n_removed long"])
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text", *counts)]
+    shared = _holding(docs.select("doc_id", "text", *[F.col(f"`{f.name}`") for f in others]), gone, "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__line_asked", *[F.col(f"`{f.name}`") for f in others])
+    schema = ", ".join(["doc_id long, text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{counts[0]}` long, `{counts[1]}` long"])
 
-    names = ["doc_id", "text", *(f.name for f in others), "n_lines", "n_removed"]
+    names = ["doc_id", "text", *(f.name for f in others), *counts]
 
     @tidy
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.arange(1 << RANK_BITS, dtype=np.uint64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = [0 if x is None else x.count("\n") + 1 for x in texts]
+            n_lines = [0 if x is None else x.count("\n") + 1 for x in texts]
             removed = [0] * len(texts)
             drop: dict[int, set[int]] = {}
             for owner, number, _, _ in _requested(batch.column(1), batch.column(2), plain):
@@ -581,6 +581,6 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for i, gone_here in drop.items():
                 texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone_here)
                 removed[i] = len(gone_here)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:], pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
-    return shared.mapInArrow(rewrite, schema)
+    return map_batches(shared, rewrite, schema)

@@ -87,7 +87,7 @@ def exponent(totals: DataFrame, target: Target, budget: float, total: float, sou
     return round(a, 6)
 
 
-def mix(docs: DataFrame, target: Target, budget: int | None = None, seed: int = 0, tokens: Column | None = None, block_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, target: Target, budget: int | None = None, seed: int = 0, tokens: Column | None = None, block_rows: int = 4096, names: tuple[str, str] = ("n_tokens", "copies")) -> DataFrame:
     """``docs`` with ``n_tokens long`` and ``copies long``: how often a document is drawn.
 
     budget: tokens to draw, by default as many as there are.  tokens: the size of a
@@ -96,8 +96,8 @@ def mix(docs: DataFrame, target: Target, budget: int | None = None, seed: int =
     source is a source of its own; documents without tokens are drawn in whole
     passes, and in the last one up to its end.  Rows of one source and id have one
     place in the permutation and are drawn alike.  A source without tokens, and all
-    sources of an empty table, are drawn no times.  Columns ``n_tokens`` and
-    ``copies`` of the input are replaced; names beginning with ``__mix_`` are
+    sources of an empty table, are drawn no times.  Input columns with the ``names``
+    of the two results are replaced; names beginning with ``__mix_`` are
     reserved.  Only ``doc_id``, ``source`` and ``text`` are read.
     """
     size = n_words(F.col("text")) if tokens is None else tokens
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, target: Target, budget: int | None = None, seed: int =
     sums = cut(sums)
     total, sources, most, least = sums.agg(F.sum("tokens"), F.count(F.when(F.col("tokens") > 0, 1)), F.max("docs"), F.min(F.when(F.col("tokens") > 0, F.col("tokens")))).first()
     if not total:
-        return docs.withColumns({"n_tokens": size, "copies": F.lit(0).cast("long")})
+        return docs.withColumns({names[0]: size, names[1]: F.lit(0).cast("long")})
     budget = total if budget is None else budget
     shares = sums.withColumn("share", F.col("tokens") / F.lit(float(total)))
     a = exponent(shares, target, float(budget), float(total), sources, least / total)
@@ -133,11 +133,16 @@ def mix(docs: DataFrame, target: Target, budget: int | None = None, seed: int =
     limits = ends.join(taken, "source", "left").select("source", F.coalesce("last", F.col("block")).alias("__mix_last"))
     plan = cut(plan.join(limits, "source", "left").select(F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), "__mix_last"))
     drawn = F.col("__mix_whole") + (F.col("__mix_place") <= F.col("__mix_last")).cast("long")
-    found = docs.withColumns({"n_tokens": size, "__mix_source": source, "__mix_place": place}).join(small(plan), "__mix_source")
-    return found.withColumn("copies", F.coalesce(drawn, F.lit(0)).cast("long")).drop("__mix_source", "__mix_place", "__mix_whole", "__mix_last")
+    found = docs.withColumns({"__mix_n": size, "__mix_source": source, "__mix_place": place}).join(small(plan), "__mix_source")
+    found = found.withColumns({names[0]: F.col("__mix_n"), names[1]: F.coalesce(drawn, F.lit(0)).cast("long")})
+    return found.drop("__mix_n", "__mix_source", "__mix_place", "__mix_whole", "__mix_last")
 
 
-def realise(mixed: DataFrame) -> DataFrame:
-    """Every document as often as it is drawn, without the columns of ``mix``."""
-    rows = mixed.where("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.drop("__mix_copy", "copies", "n_tokens")
+def realise(mixed: DataFrame, names: tuple[str, str] = ("n_tokens", "copies")) -> DataFrame:
+    """Every document as often as it is drawn, without the columns of ``mix``, whose ``names`` are given.
+
+    Nulls, empty texts and repeated rows are laid out like others; rows drawn no
+    times, all of an empty table, go.
+    """
+    rows = mixed.where(F.col(names[1]) > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[1]))))
+    return rows.drop("__mix_copy", *names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import release, small_batches, tidy
+from .cluster import map_batches, release, small_batches, tidy
 from .wordcodes import WordCodes, gather
 from .wordtable import Words, buffers
 
@@ -239,9 +239,9 @@ def encode(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
                 batch = whole.slice(k, rows)
                 ids, at = encoder.column(batch.column(text_at))
                 body = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 4), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(at)), body], names=[*batch.schema.names, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(at)), body], names=["doc_id", *(f.name for f in others), "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), *[F.col(f"`{f.name}`") for f in others]), run, schema)
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, rows: int = 500) -> DataFrame:
@@ -265,9 +265,9 @@ def round_trip(docs: DataFrame, model: str = MODEL, rows: int = 500) -> DataFram
                 for text, a, b in zip(batch.column(0), at[:-1], at[1:], strict=True):
                     digests.append(hashlib.sha256(ids[a:b].tobytes()).hexdigest())
                     equal.append(encoder.vocabulary.decode(ids[a:b]) == (text.as_py() or "").encode())
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(at)), pa.array(digests, pa.string()), pa.array(equal, pa.bool_())], names=[*batch.schema.names[1:], "n_tokens", "ids_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(at)), pa.array(digests, pa.string()), pa.array(equal, pa.bool_())], names=[*(f.name for f in others), "n_tokens", "ids_sha256", "round_trip"])
 
-    return docs.select("text", *[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, schema)
+    return map_batches(docs.select("text", *[F.col(f"`{f.name}`") for f in others]), run, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, name: str = "decoded") -> DataFrame:
@@ -275,12 +275,14 @@ def decode(encoded: DataFrame, model: str = MODEL, name: str = "decoded") -> Dat
     small_batches(encoded.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != name), f"`{name}` string"])
 
+    columns = encoded.columns
+    ids_at, kept = columns.index("ids"), [k for k, c in enumerate(columns) if c != name]
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model)
         for batch in batches:
-            texts = [vocabulary.decode(np.frombuffer(b, "<i4")).decode("utf-8", "replace") if b else "" for b in batch.column("ids").to_pylist()]
-            kept = [n for n in batch.schema.names if n != name]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], names=[*kept, name])
+            texts = [vocabulary.decode(np.frombuffer(b, "<i4")).decode("utf-8", "replace") if b else "" for b in batch.column(ids_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string())], names=[*(columns[k] for k in kept), name])
 
-    return encoded.mapInArrow(run, schema)
+    return map_batches(encoded, run, schema)
