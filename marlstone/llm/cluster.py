@@ -36,12 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def input_partitions(df: DataFrame, mb: float, least: int = 1) -> int:
-    """How many partitions of about ``mb`` MB the optimiser's size estimate of ``df`` comes to; no job runs."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(least, -(-size // int(mb * 1e6))), 1_000_000))
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """``node, label`` (long) of every node of an edge; the label is the least node it is connected to.
 

@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut, input_partitions, map_batches, release, small_batches, tidy
+from .cluster import cut, map_batches, release, small_batches, tidy
 from .packing import pack, unpack
 from .wordtable import IS_SPACE, NEWLINE, Words, chunks, mix, order_by
 
 THRESHOLD = 0.8
 RANK_BITS = 18
 SKETCH_CHUNKS = 16
-BUCKET_MB = 8
-MOST_BUCKETS = 1 << 16
+#: Words of the input for a bucket, on average; a task holds one bucket at a time.
+BUCKET_WORDS = 1_300_000
 #: Size up to which the affected documents and their lines are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: A pair whose parity bits differ in at most this share of what the threshold allows is taken for a match until verified.
@@ -97,8 +97,8 @@ def _counts(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rank of each counter by its words' count over all documents; 2 ** RANK_BITS ranks, whatever the input's size."""
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank of each counter by its words' count over all documents, 2 ** RANK_BITS ranks, whatever the input's size; and the number of words."""
     counted = docs.select("text").mapInArrow(_count, "chunk int, body binary")
     # Two steps, so that no task reads the tables of all others.
     half = counted.withColumn("side", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("chunk", "side").select("chunk", "body")
@@ -108,7 +108,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         table[r["chunk"]] += _counts(bytes(r["body"]))
     rank = np.empty(1 << RANK_BITS, np.uint64)
     rank[np.argsort(table.reshape(-1), kind="stable")] = np.arange(1 << RANK_BITS, dtype=np.uint64)
-    return rank
+    return rank, int(table.sum())
 
 
 # Lines
@@ -510,9 +510,10 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(rarity(docs))  # 2 MB at every size
+    rank, n_words = rarity(docs)
+    shared = spark.sparkContext.broadcast(rank)  # 2 MB at every size
     rank_of = partial(_value, shared)
-    bucket_bits = max(0, min(input_partitions(docs, BUCKET_MB), MOST_BUCKETS) - 1).bit_length()
+    bucket_bits = min(32, max(0, -(-n_words // BUCKET_WORDS) - 1).bit_length())
     entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits), "bucket long, n int, body binary")
     proposed = cut(entries.groupBy("bucket").applyInArrow(_grouped(_propose, threshold), PROPOSAL))
     equal = proposed.where("equal").select("b").distinct()

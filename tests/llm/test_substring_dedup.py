@@ -45,6 +45,78 @@ def test_against_brute_force(spark, part_mb):
     assert got == expected(rows)
 
 
+def ordered_by_hash(rows, spark):
+    """Rows with texts of one id in order of the hash, as the brute force takes them by text."""
+    from pyspark.sql import functions as F
+
+    ties = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1],) for r in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, ties[r[1]]))
+
+
+@pytest.mark.parametrize("settings", [{"FAN_BITS": 1, "PARTS_A_BUCKET": 1}, {"FAN_BITS": 2, "PARTS_A_BUCKET": 1}, {"FAN_BITS": 1, "PARTS_A_BUCKET": 3, "RESULT_BYTES": 50}])
+def test_levels_of_the_exchange(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(substring_dedup, k, v)
+    rows = made_rows()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(frame(spark, rows), part_mb=0.0015).collect())
+    assert got == expected(rows)
+
+
+def test_crowded_ids_are_dealt_by_text(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 500)
+    rows = made_rows()
+    rows += [(i, f"{prose(400 + k, 10)} {prose(80, 60)} {prose(500 + k, 5)}", None, None, 0, "", 0, "", 0) for i in (None, 77) for k in range(20)]
+    dealt, _ = substring_dedup._dealt(frame(spark, rows), 0.001)
+    assert dealt.where("doc_id = 77").select("part").distinct().count() > 5 and dealt.where("doc_id IS NULL").select("part").distinct().count() > 5
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(frame(spark, rows), part_mb=0.001).collect())
+    want = Counter()
+    order = ordered_by_hash(rows, spark)
+    by_text = sorted((r for r in rows if r[0] not in (None, 77)), key=lambda r: (r[0], "" if r[1] is None else r[1]))
+    order = [*(r for r in by_text if r[0] < 77), *(r for r in order if r[0] == 77), *(r for r in by_text if r[0] > 77), *(r for r in order if r[0] is None)]
+    seen = set()
+    for i, text, *_ in order:
+        w = words(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))] += 1
+    assert got == want
+
+
+def test_messages_grow_with_the_input(spark, monkeypatch):
+    """Three sizes: the number of messages of all levels grows as the number of parts does, not as its square."""
+    monkeypatch.setattr(substring_dedup, "FAN_BITS", 2)
+    monkeypatch.setattr(substring_dedup, "PARTS_A_BUCKET", 1)
+    counts = []
+    for parts in (16, 64, 256):
+        bits = (parts - 1).bit_length()
+        level, senders, total = substring_dedup.Level(bits, 0, min(bits, 2)), parts, 0
+        while True:
+            total += senders << (level.upto - level.since)  # each sender, each of its receivers
+            if level.upto == bits:
+                break
+            senders = substring_dedup.nodes(parts, level) << level.upto
+            level = substring_dedup.Level(bits, level.upto, min(bits, level.upto + 2))
+        counts.append(total / parts)
+    assert counts[2] <= counts[0] * 2.5
+    sent = []
+    original = substring_dedup.exchange
+    monkeypatch.setattr(substring_dedup, "exchange", lambda rows, kind, parts, level: sent.append((rows.groupBy("part").count().agg({"count": "max"}).first()[0], level.upto)) or original(rows, kind, parts, level))
+    assert substring_dedup.dedup(frame(spark, made_rows()), part_mb=0.0015).count() == len(made_rows())
+    assert len(sent) > 4 and all(most <= 4 for most, _ in sent)
+
+
+def test_words_of_equal_letter_sums_are_told_apart(spark):
+    from tests.llm.test_wordtable import TWINS
+
+    rows = [(k, f"{prose(1, 15)} {word} {prose(2, 15)}", None, None, 0, "", 0, "", 0) for k, word in enumerate([*TWINS[0], TWINS[0][1]])]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(frame(spark, rows)).collect())
+    assert got == expected(rows) and sorted(r[2] for r in got) == [0, 0, 31]
+
+
 def test_other_width(spark):
     rows = made_rows()
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(frame(spark, rows), width=8, part_mb=0.001).collect())
