@@ -6,12 +6,18 @@ the best score of that position.  Characters no piece covers fall back to byte
 pieces.  Pieces hold a space only as a leading run, so the best path of a text is
 made of the best paths of its segments (a run of spaces and what follows), and
 each different segment of a batch is worked out once, many side by side.
+
+Scores must be additive for a best sum to mean anything.  A model whose scores are
+whole numbers holds ranks of merges; these are turned into log frequencies by the
+law of Zipf and Mandelbrot, -ln(rank + ``ZIPF_OFFSET``), in steps of 1/1024 so that
+sums are exact.  Other scores are taken as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +34,10 @@ SPACE = "▁".encode()
 #: Bytes at once: large, as the known segments are merged with the new ones each time.
 CODED_BYTES = 1_000_000
 UNKNOWN_BELOW = 10.0  # a fallback character scores so much less than the worst piece
+#: Of 1 to 3,000, the offset with which most words are split as the merges split them (see README).
+ZIPF_OFFSET = 300.0
+#: Segments of more bytes than this are worked out by themselves.
+LONG_SEGMENT = 4096
 
 
 class Vocabulary:
@@ -57,6 +67,11 @@ class Vocabulary:
             raise ValueError("the model has no byte pieces")
         if any(b" " in body.lstrip(b" ") for body, _, _ in self.scored):
             raise ValueError("a piece holds a space after other characters")
+        scores = np.array([s for _, _, s in self.scored])
+        if (scores == np.round(scores)).all():
+            # Ranks beyond the vocabulary stand for pieces that no merge makes.
+            rank = np.clip(-scores, 0, self.size)
+            self.scored = [(body, i, float(s)) for (body, i, _), s in zip(self.scored, np.round(-1024 * np.log(rank + ZIPF_OFFSET)) / 1024, strict=True)]
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.text])))
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
 
@@ -113,6 +128,11 @@ class Automaton:
         k = 0
         while k < len(order):
             width = int(sizes[order[k]])
+            if width > LONG_SEGMENT:
+                found.append(self._single(words[order[k]], byte_id))
+                counts[order[k]] = len(found[-1])
+                k += 1
+                continue
             group = order[k : k + max(1, 400_000 // (width + 1))]
             ids, n = self._lockstep([words[i] for i in group], width, byte_id)
             counts[group] = n
@@ -124,6 +144,42 @@ class Automaton:
         offsets = np.repeat(starts - (np.cumsum(counts) - counts), counts)
         return counts, flat[np.arange(len(flat)) + offsets]
 
+    def _outputs(self, state: int) -> list[tuple[int, int, float]]:
+        """Piece, length and score of all pieces that end in a state, longest first."""
+        out, node = [], state if self.piece[state] >= 0 else int(self.link[state])
+        while node:
+            out.append((int(self.piece[node]), int(self.length[node]), float(self.score[node])))
+            node = int(self.link[node])
+        return out
+
+    def _single(self, word: bytes, byte_id: np.ndarray) -> np.ndarray:
+        """Ids of the best path of one long segment; scores are kept for as many positions as the longest piece spans."""
+        n, ring = len(word), int(self.length.max()) + 8
+        code = self.byte_class[np.frombuffer(word, np.uint8)]
+        best, back = [-np.inf] * ring, array("i", bytes(4 * n + 4))
+        best[0], state, head, outputs = 0.0, 0, 0, {}
+        for t in range(n):
+            state = int(self.step[state, code[t]])
+            if word[t] & 0xC0 != 0x80:
+                head = t
+            found = outputs.get(state)
+            if found is None:
+                found = outputs[state] = self._outputs(state)
+            top, piece = -np.inf, -1
+            for i, length, score in found:
+                if (s := best[(t + 1 - length) % ring] + score) > top:
+                    top, piece = s, i
+            if (t + 1 == n or word[t + 1] & 0xC0 != 0x80) and t + 1 - head <= 4 and (s := best[head % ring] + self.worst) > top:
+                top, piece = s, -1
+            best[(t + 1) % ring], back[t + 1] = top, piece
+        lengths = dict(zip(self.piece.tolist(), self.length.tolist(), strict=True))
+        ids, p = array("i"), n
+        while p:
+            i = back[p]
+            ids.append(int(byte_id[word[p - 1]]) if i < 0 else i)
+            p -= 1 if i < 0 else lengths[i]
+        return np.array(ids, np.int32)[::-1]
+
     def _lockstep(self, words: list[bytes], width: int, byte_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """words: by falling length."""
         n = len(words)
@@ -173,10 +229,10 @@ class Automaton:
         return out, count
 
 
-def segment_table(data: np.ndarray, doc: np.ndarray) -> Words:
-    """Segments of texts; each text but an empty one is given a space in front."""
+def segment_table(data: np.ndarray, doc: np.ndarray, opens: bool = True) -> Words:
+    """Segments of texts; each text but an empty one is given a space in front if it ``opens``, is no later piece of one."""
     size = np.diff(doc)
-    extra = (size > 0).astype(np.int64)
+    extra = (size > 0).astype(np.int64) * opens
     new = np.concatenate(([0], np.cumsum(size + extra)))
     out = np.full(new[-1], 32, np.uint8)
     shift = np.repeat(new[:-1] + extra - doc[:-1], size)
@@ -188,6 +244,22 @@ def segment_table(data: np.ndarray, doc: np.ndarray) -> Words:
     return Words(out, new, start, np.append(start[1:], len(out)) if len(start) else start, np.searchsorted(start, new))
 
 
+def segment_cuts(data: np.ndarray, most: int | None = None) -> list[int]:
+    """Offsets of pieces of about ``most`` bytes of one text, each but the first beginning where a segment does."""
+    most = CODED_BYTES if most is None else most
+    out, n = [0], len(data)
+    while n - out[-1] > most:
+        at, found = out[-1] + most, None
+        while at < n and found is None:
+            stop = min(n, at + most)
+            hits = np.flatnonzero((data[at:stop] == 32) & (data[at - 1 : stop - 1] != 32))
+            found, at = (at + int(hits[0]) if len(hits) else None), stop
+        if found is None:
+            break
+        out.append(found)
+    return [*out, n]
+
+
 class Encoder:
     def __init__(self, model: str = MODEL):
         self.vocabulary = Vocabulary(model)
@@ -196,23 +268,22 @@ class Encoder:
         self.codes = WordCodes(lambda words: self.automaton.segments(words, self.vocabulary.byte_id), most=250_000)
 
     def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and where each text's begin."""
+        """Ids of all texts and where each text's begin; a long text is worked out in pieces, each of whole segments."""
         data, doc = buffers(column)
-        parts, counts, row = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        parts, counts, row = [np.zeros(0, np.int32)], np.zeros(len(column), np.int64), 0
         while row < len(column):
             stop = int(np.searchsorted(doc, doc[row] + CODED_BYTES, side="right")) - 1
             stop = min(len(column), max(stop, row + 1))
-            piece, offsets = data[doc[row] : doc[stop]], doc[row : stop + 1] - doc[row]
-            if SPACE in (raw := piece.tobytes()):
-                texts = [raw[a:b].replace(SPACE, b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                piece, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            t = segment_table(piece, offsets)
-            rows = self.codes.rows(t, t.word_hashes())
-            at, n = gather(self.codes.offsets, rows)
-            parts.append(self.codes.ids[at])
-            counts.append(np.diff(np.concatenate(([0], np.cumsum(n)))[t.offsets]))
+            run, offsets = data[doc[row] : doc[stop]], doc[row : stop + 1] - doc[row]
+            edges = segment_cuts(run) if len(run) > CODED_BYTES else [0, len(run)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                t = segment_table(run[a:b], offsets if len(edges) == 2 else np.array([0, b - a]), a == 0)
+                rows = self.codes.rows(t, t.word_hashes())
+                at, n = gather(self.codes.offsets, rows)
+                parts.append(self.codes.ids[at])
+                counts[row:stop] += np.diff(np.concatenate(([0], np.cumsum(n)))[t.offsets])
             row = stop
-        return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum(counts)))
 
     def ids(self, text: str) -> list[int]:
         return self.column(pa.array([text]))[0].tolist()
@@ -222,9 +293,11 @@ def encode(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
     """``doc_id, n_tokens long, ids binary`` (little-endian int32) and the other columns of ``docs`` but those names.
 
     The path has the highest sum of piece scores; of equal sums the one whose last
-    piece is longer, at each position.  A space is put before the text.  A null or
+    piece is longer, at each position.  A space is put before the text.  The visible
+    space sign is spelt in bytes, so that it is not taken for a space.  A null or
     empty text has no tokens, repeated rows give repeated results.  Every text is
-    encoded whole.  The model must be readable on all executors under one path.
+    encoded whole, a long one in pieces; what is held of a run without spaces is five
+    bytes for each of it.  The model must be readable on all executors under one path.
     """
     small_batches(docs.sparkSession)
     others = [f for f in docs.schema if f.name not in ("doc_id", "n_tokens", "ids")]
@@ -248,7 +321,9 @@ def round_trip(docs: DataFrame, model: str = MODEL, rows: int = 500) -> DataFram
     """``n_tokens long, ids_sha256 string`` (of little-endian int32 ids) and ``round_trip boolean`` beside the columns of ``docs`` but ``text``.
 
     Encodes each text, decodes the ids and compares, in one pass that ships neither
-    ids nor texts; ``encode`` and ``decode`` do the same in two.  A null is empty.
+    ids nor texts; ``encode`` and ``decode`` do the same in two.  A null is empty,
+    and an empty text has no tokens; any text comes back as it was.  Columns named like
+    a result are replaced, repeated rows give repeated results, an empty table an empty one.
     """
     small_batches(docs.sparkSession)
     others = [f for f in docs.schema if f.name not in ("text", "n_tokens", "ids_sha256", "round_trip")]
