@@ -15,6 +15,11 @@ Kinds, in the order of results:
   pass their check digits, other values need five digits.
 * ``secret``: the value after a cue such as ``token =`` or ``api_key:``, of eight
   characters or more with a digit and a letter.
+
+Cues are found in any case, their words joined, or apart by a space, hyphen or low
+line.  Between a cue and its separator (``:``, ``=`` or ``#``) on the line may stand any
+number of the words of ``LINK_WORDS`` and ``BETWEEN``, and two others, each of 40
+letters at most; a full stop only after a word for number.
 """
 
 from __future__ import annotations
@@ -39,10 +44,14 @@ LOCAL = LABEL | set("._%+")
 PHONE = DIGITS | set(" ().-")
 VALUE = LETTERS | DIGITS | set("_-./+")
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport", "social security", "customer id")
-#: Words that may stand between an account cue and a value without a separator; after the first kind a separator may come late.
+BETWEEN = frozenset(("of", "the", "for", "a", "an", "my", "your", "our", "his", "her", "its", "their", "this", "holder", "client", "customer", "user", "owner", "value", "key"))
+OTHER_WORDS, WORD_LETTERS = 2, 40
+#: Words that may stand between an account cue and a value without a separator; the first kind may end with a full stop.
 NUMBER_WORDS = frozenset(("no", "nr", "nbr", "num", "number", "id", "code"))
 LINK_WORDS = NUMBER_WORDS | {"is"}
-SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api key", "access_key")
+SECRET_CUES = ("token", "password", "passwd", "secret", "api key", "access key")
+#: ASCII capitals made small, one character for one.
+FOLD = {k: k + 32 for k in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -53,8 +62,8 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(text, tag)
     for tag, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, tag)
+            for join in ("", " ", "_", "-"):
+                a.add_word(cue.replace(" ", join), tag)
     a.make_automaton()
     return a
 
@@ -139,13 +148,24 @@ def _value(t: str, i: int) -> tuple[int, int] | None:
     return (start, i) if i > start else None
 
 
-def _cued(t: str, i: int, within: int = 12) -> tuple[int, int] | None:
+def _cued(t: str, i: int) -> tuple[int, int] | None:
     """The value after a cue that ends at i: few words, then ``:``, ``=`` or ``#``, then a run."""
-    n, stop = len(t), min(len(t), i + within)
-    while i < stop and (t[i] in LETTERS or t[i] in " .'\""):
-        i += 1
-    if i >= n or t[i] not in ":=#":
-        return None
+    n, others, stop_may_come = len(t), 0, t[max(0, i - 4) : i].lower() == "acct"
+    while True:
+        while i < n and (t[i] in " '\"" or (stop_may_come and t[i] == ".")):
+            i += 1
+        if i >= n:
+            return None
+        if t[i] in ":=#":
+            break
+        j = i
+        while j < n and j <= i + WORD_LETTERS and t[j] in LETTERS:
+            j += 1
+        word = t[i:j].lower()
+        others += word not in LINK_WORDS and word not in BETWEEN
+        if j == i or j > i + WORD_LETTERS or others > OTHER_WORDS:
+            return None
+        i, stop_may_come = j, word in NUMBER_WORDS
     i += 1
     while i < n and t[i] in " \"'":
         i += 1
@@ -176,7 +196,7 @@ def _account(t: str, cue_end: int) -> tuple[int, int] | None:
             break
         words.append(t[i:j].lower())
         i = j
-    if span := _cued(t, cue_end, 40 if words and words[0] in NUMBER_WORDS else 12):
+    if span := _cued(t, cue_end):
         end = _number(t, span[0])
         return (span[0], end) if end else None
     # Glued to the cue, only check digits tell a value from the rest of a word.
@@ -212,8 +232,9 @@ def _login(t: str, after: int) -> tuple[int, int] | None:
 def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in the whole text, by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    folded = text.lower() if text.isascii() else text.translate(FOLD)
     past = {"email": 0, "dots": 0, "card": 0, "phone": 0, "value": 0}
-    for last, tag in automaton.iter(text):
+    for last, tag in automaton.iter(folded):
         if tag == "digit":
             if last >= past["dots"]:
                 runs, past["dots"] = _dotted(text, last)

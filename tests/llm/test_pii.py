@@ -78,3 +78,41 @@ def test_query_rows(spark):
     assert pii.detect(empty(spark)).collect() == []
     one = pii.detect(spark.createDataFrame([(1, "é a@b.co +44 20 7946 0958")], "doc_id long, text string")).first()
     assert one["spans"] == "email:2:8,phone:9:25" and one["n_email"] == one["n_phone"] == 1
+
+
+SECRET = "24be64439e3e49cf"
+FORMS = ("API key: {}", "apiKey={}", "accessKey={}", "API_key: {}", "api-key = {}", "ACCESS-KEY: {}", "Access Key {{}}: {}".replace("{{}}", "for prod"), "Token: {}", "TOKEN = {}", "PassWord: {}", "passwd={}", "client_secret: {}", "the password for the mail server: {}")
+
+
+def test_each_spelling_of_a_cue():
+    for form in FORMS:
+        text = form.format(SECRET)
+        assert [text[a:b] for a, b in pii.find(text, A)["secret"]] == [SECRET], text
+    for cue in pii.ACCOUNT_CUES:
+        for join in ("", " ", "_", "-"):
+            for case in (str.lower, str.upper, str.title, str.swapcase):
+                text = "é " + case(cue.replace(" ", join)) + ": 123456789"
+                assert [text[a:b] for a, b in pii.find(text, A)["account"]] == ["123456789"], text
+    for text, value in (("account number of the client: 12345678", "12345678"), ("Account no. of my customer: 12345678", "12345678"), ("Customer ID: 4711-0815", "4711-0815")):
+        assert [text[a:b] for a, b in pii.find(text, A)["account"]] == [value], text
+    for text in ("token and one two words: " + SECRET, "token\n: " + SECRET, "secret. Then: " + SECRET, "token " + "x" * 50 + ": " + SECRET):
+        assert pii.find(text, A)["secret"] == [], text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["token", "API key", "account", "iban", "İ", "ß", "ſ", " ", ":", "=", "a1b2c3d4", "12345678", "no.", "of", "\n", "."]), max_size=12).map("".join))
+def test_offsets_are_of_the_text_itself(text):
+    found = pii.find(text, A)
+    for kind, spans in found.items():
+        assert all(0 <= a < b <= len(text) for a, b in spans) and spans == sorted(spans), kind
+    for a, b in found["secret"]:
+        assert len(text[a:b]) >= 8 and any(c.isdigit() for c in text[a:b])
+
+
+def test_many_cues_in_a_row_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("token", "token ", "account number ", "x@", "+1 "):
+        pii.find(part * 200_000, A)
+    assert time.perf_counter() - began < 30
