@@ -172,17 +172,21 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, most_langs: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, in_all: int = 80_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded training set: ``per_lang`` documents of each language, ``per_doc`` windows of each.
 
+    With many languages each has fewer, so that there are ``in_all`` documents or one a
+    language; every language that is labelled is learned.
+
     Different texts are chosen by least hash, among those whose hash is so low that
     about four times ``per_lang`` different ones are left, and the windows lie evenly over a
-    text; at most ``most_langs`` languages of most documents are learned.  These are
-    bounds of the sample, not of what is scored.
+    text.  Windows of fewer than 32 bytes are left out where a language has longer
+    ones.  These are bounds of the sample, not of what is scored.
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("lang", "text").where(_has_letter())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
-    top = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    top = {r["lang"]: r["texts"] for r in counts.collect()}
+    per_lang = max(1, min(per_lang, in_all // max(len(top), 1)))
     langs = sorted(top)
     size = F.octet_length("text")
     pieces = F.transform(
@@ -192,7 +196,7 @@ def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, m
     # Hashes below a share of their range that holds some four times as many different texts as are wanted; copies have one hash.
     share = {k: min(1.0, 4 * per_lang / max(n, 1)) for k, n in top.items()}
     low = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]) if share else F.create_map(F.lit(""), F.lit(0.0))
-    hashed = rows.where(F.col("lang").isin(langs)).withColumn("h", F.xxhash64("text"))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
     few = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 < low[F.col("lang")]).select("lang", "h", size.alias("size"), F.array_distinct(pieces).alias("pieces"))
     few = few.groupBy("lang", "h", "size").agg(F.first("pieces").alias("pieces"))
     chosen = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "size"))).where(F.col("r") <= per_lang)
@@ -201,9 +205,9 @@ def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, m
     data, offsets = buffers(column)
     x, text, length = cut_windows(data, offsets)
     full = length >= min(32, WINDOW)
-    full = full if full.any() else np.ones(len(length), bool)
     where = {lang: i for i, lang in enumerate(langs)}
     y = np.array([where[g[0]] for g in got], np.int64)[text] if len(got) else np.zeros(0, np.int64)
+    full |= ~np.isin(y, y[full])
     return x[full], y[full], langs
 
 

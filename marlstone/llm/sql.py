@@ -88,4 +88,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256
 FROM y
 """
 
-ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op9_substring_dedup": OP9}
+#: Each different set of words once; candidates share one of the rarest words that a Jaccard similarity of 0.8 must share.
+OP7 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+s AS (SELECT doc_id, k, line, doc_id * 1048576 + k AS place, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+e AS (SELECT row_number() OVER () AS id, w, len(w) AS n, min(place) AS first FROM s WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT id, n, unnest(w) AS t FROM e),
+f AS (SELECT t, count(*) AS c FROM x GROUP BY t),
+r AS (SELECT id, n, x.t, row_number() OVER (PARTITION BY id ORDER BY c, x.t) AS pos FROM x JOIN f ON x.t = f.t),
+q AS (SELECT id, n, t FROM r WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM q a JOIN q b ON a.t = b.t AND a.id <> b.id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+m AS (SELECT p.a AS id, min(y.first) AS other FROM p JOIN e z ON z.id = p.a JOIN e y ON y.id = p.b WHERE 9 * len(list_intersect(z.w, y.w)) >= 4 * (z.n + y.n) GROUP BY p.a),
+g AS (SELECT s.doc_id, s.k, s.line, coalesce(s.place > least(e.first, coalesce(m.other, e.first)), FALSE) AS gone FROM s LEFT JOIN e ON s.w = e.w LEFT JOIN m ON m.id = e.id),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_substring_dedup": OP9}

@@ -85,3 +85,42 @@ def test_copies_do_not_thin_the_sample(spark):
     others = spark.range(520).selectExpr("CASE WHEN id < 500 THEN 'a' ELSE 'b' END AS lang", text.format("id") + " AS text")
     _, y, langs = langid.sample_windows(copies.unionByName(others), per_lang=10, per_doc=1)
     assert langs == ["a", "b"] and np.bincount(y, minlength=2).tolist() == [10, 10]
+
+
+def test_every_labelled_language_is_learned(spark):
+    """More languages than documents to spend, some with short texts only."""
+    rows = [(f"l{k:03d}", f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * (30 if k % 2 else 3)) for k in range(300) for _ in range(3)]
+    x, y, langs = langid.sample_windows(spark.createDataFrame(rows, "lang string, text string"), per_doc=1, in_all=150)
+    assert langs == sorted({r[0] for r in rows}) and set(y.tolist()) == set(range(300)) and len(x) == 300
+
+
+def test_predictions_against_the_definition(spark, sf_dir):
+    """Each document's language and score from the layers themselves, a window and a place at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    rows = documents()[:20] + [(500 + r["doc_id"], r["text"], None, None, 0, "", 0, "", 0) for r in docs.limit(15).collect()]
+    got = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 3)) for r in langid.predict(frame(spark, rows), net).collect())
+
+    def window(raw):
+        x = np.zeros(langid.WINDOW, np.uint8)
+        x[: len(raw)] = np.frombuffer(raw, np.uint8)
+        e, h = net.embed[x].astype(np.float64), []
+        for w, k, b in zip(langid.WIDTHS, net.filters, net.filter_bias, strict=True):
+            h.append(np.max([e[i : i + w].reshape(-1) @ k + b for i in range(len(x) - w + 1)], axis=0))
+        z = np.maximum(np.concatenate(h), 0) @ net.dense + net.bias
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def small(c):
+        return c.lower() if c.isascii() or ("À" <= c <= "Þ" and c != "×") else c
+
+    want = []
+    for i, text, *_ in rows:
+        raw = "".join(map(small, text or "")).encode()
+        if not any(c.isalpha() for c in text or ""):
+            want.append((str(i), "und", 0.0))
+            continue
+        parts = [raw[k : k + langid.WINDOW] for k in range(0, len(raw), langid.WINDOW)]
+        p = sum(window(x) * len(x) for x in parts) / len(raw)
+        want.append((str(i), net.langs[int(p.argmax())], round(float(p.max()), 3)))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 0.002
