@@ -12,6 +12,14 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def in_blocks(queries: DataFrame, id_col: str, rows: int = 50_000) -> list[DataFrame]:
+    """The queries in blocks of about ``rows`` rows, by hash of the id, each with a broadcast hint; together they are all rows."""
+    blocks = max(1, -(-queries.count() // rows))
+    if blocks == 1:
+        return [F.broadcast(queries)]
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)) for b in range(blocks)]
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tie: str, values: dict[str, str]) -> DataFrame:
     """Each left row with the last right row of its key at or before its time.
 

@@ -1,36 +1,64 @@
-"""Approximate vector neighbours by bucketed random projections."""
+"""Approximate vector neighbours by random hyperplanes."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot
+from .joins import in_blocks
 from .ranking import top_k
 
 
-def buckets(vector: Column, dimension: int, tables: int, width: float, seed: int) -> Column:
-    """One bucket per table: the projection on a random direction, in steps of ``width``."""
-    directions = np.random.default_rng(seed).standard_normal((tables, dimension))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    return F.array(*[F.floor(dot(vector, F.array(*map(F.lit, r.tolist()))) / width).cast("long") for r in directions])
+def sketches(vector: Column, dimension: int, bits: int, seed: int) -> Column:
+    """The sides of ``bits`` random hyperplanes that a vector lies on, 64 to a long; null for another length."""
+
+    @F.pandas_udf("array<long>")
+    def code(vectors: pd.Series) -> pd.Series:
+        planes = np.random.default_rng(seed).standard_normal((dimension, bits))
+        fits = vectors.map(lambda v: v is not None and len(v) == dimension)
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        if fits.any():
+            sides = np.stack(vectors[fits].to_list()).astype(np.float64) @ planes > 0
+            out[fits] = pd.Series(list(np.packbits(sides, axis=1).view(np.int64)), index=vectors.index[fits])
+        return out
+
+    return code(vector)
+
+
+def differing(a: Column, b: Column, words: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(words)])
+
+
+def cut_off(base: DataFrame, queries: DataFrame, share: float, sample: int) -> int:
+    """Differing bits up to which about ``share`` of all pairs lie, by ``sample`` rows of base and of queries at most."""
+    some = lambda df, c: np.array([r[0] for r in df.where(F.col(c).isNotNull()).orderBy(F.xxhash64(c)).select(c).limit(sample).collect()], np.int64)
+    a, b = some(base, "__b"), some(queries, "__q")
+    if not len(a) or not len(b):
+        return 0
+    counts = [np.bitwise_count(x ^ a).sum(axis=1) for x in b]
+    return int(np.quantile(np.concatenate(counts), share))
 
 
-def lsh_top_k(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, tables: int = 4, width: float = 0.5, seed: int = 42) -> DataFrame:
-    """``query_id, id_col, rank, score`` of the k best inner products among rows that share a bucket with the query.
+def lsh_top_k(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, bits: int = 512, share: float = 0.15, sample: int = 1000, seed: int = 42) -> DataFrame:
+    """``query_id, id_col, rank, score`` of the k best inner products among the rows whose sketch is near the query's.
 
-    All base rows are indexed.  A pair is scored in the first table it shares only,
-    and map tasks keep k rows a query.  A narrower ``width`` means fewer candidates
-    and less recall; unit vectors without structure need a wide one.
+    All base rows are sketched and compared by bits, queries in blocks that are
+    broadcast; only pairs below a cut-off, about ``share`` of all, have their vectors
+    multiplied.  Map tasks keep k rows a query.  The cut-off comes from a bounded
+    sample; more bits give more recall at the same share.  Vectors that are null or
+    of another length than the first match nothing.
     """
-    one = base.select(F.size(vector_col)).first()
+    one = base.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
     dimension = one[0] if one else 0
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__probe"), buckets(F.col(vector_col), dimension, tables, width, seed).alias("__q"))
-    b = base.select(id_col, vector_col, buckets(F.col(vector_col), dimension, tables, width, seed).alias("__b"))
-    q = q.select("*", F.posexplode("__q").alias("__table", "__bucket"))
-    b = b.select("*", F.posexplode("__b").alias("__table", "__bucket"))
-    shared = F.filter(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.element_at("__q", i + 1) == F.element_at("__b", i + 1))
-    pairs = b.join(q, ["__table", "__bucket"]).where((F.col(id_col) != F.col("query_id")) & (F.element_at(shared, 1) == F.col("__table")))
+    b = base.select(id_col, vector_col, sketches(F.col(vector_col), dimension, bits, seed).alias("__b"))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__probe"), sketches(F.col(vector_col), dimension, bits, seed).alias("__q"))
+    most = cut_off(b, q, share, sample)
+    near = (F.col(id_col) != F.col("query_id")) & (differing(F.col("__q"), F.col("__b"), bits // 64) <= most)
+    pairs = reduce(DataFrame.unionByName, [b.join(block, near).select("query_id", id_col, "__probe", vector_col) for block in in_blocks(q, "query_id")])
     scored = pairs.select("query_id", id_col, dot(F.col("__probe"), F.col(vector_col)).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col(id_col)], k).select("query_id", id_col, "rank", F.round("score", 6).alias("score"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import band, dot, iou, norm
-from ..operators.joins import asof_join, band_join, interval_join, null_equal, small
+from ..operators.joins import asof_join, band_join, in_blocks, interval_join, null_equal, small
 from ..operators.ranking import top_k, vote
 from ..sources import csv_round_trip, json_round_trip, partitioned_sink, table
 from .registry import query
@@ -202,6 +204,15 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 
+@query("a3_approx_distinct_error", "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY event_type")
+def a3_error(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number, and whether the approximate one is within three times its stated error."""
+    approx = F.approx_count_distinct("user_id", 0.02)
+    exact = F.countDistinct("user_id")
+    near = F.abs(approx - exact) <= F.greatest(F.lit(1.0), exact * 0.06)
+    return table(spark, d, "events").groupBy("event_type").agg(exact.alias("users"), near.alias("near"))
+
+
 @query("a4_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def a4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
@@ -212,6 +223,18 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.percentile_approx("value", 0.5, 10_000).alias("median"))
 
 
+@query("a5_approx_percentile_error", "SELECT event_type, count(*) AS n, TRUE AS near FROM events GROUP BY event_type")
+def a5_error(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each type, and whether the rank of the approximate median is within the stated error of the middle."""
+    e = table(spark, d, "events").select("event_type", "value")
+    median = e.groupBy("event_type").agg(F.percentile_approx("value", 0.5, 100).alias("median"))
+    below = F.count(F.when(F.col("value") < F.col("median"), 1))
+    upto = F.count(F.when(F.col("value") <= F.col("median"), 1))
+    n = F.count(F.lit(1))
+    near = (below <= n * 0.51 + 1) & (upto >= n * 0.49 - 1)
+    return e.join(F.broadcast(median), "event_type").groupBy("event_type").agg(n.alias("n"), near.alias("near"))
+
+
 _SETS = """SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, round(sum(l_quantity), 2) AS qty
     FROM lineitem GROUP BY """
 
@@ -250,9 +273,7 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a10_ordered_strings", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.expr("listagg(role, '>') WITHIN GROUP (ORDER BY turn)").alias("roles"))
 
 
 @query(
@@ -292,20 +313,20 @@ def w1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w2_offsets",
-    """SELECT event_id, lag(event_type) OVER w AS before, lead(value, 2, 0.0) OVER w AS after, first_value(event_id) OVER w AS first, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
-    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""",
+    """SELECT event_id, lag(event_type) OVER w AS before, lead(value, 2, 0.0) OVER w AS after, first_value(event_id) OVER w AS first, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def w2(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return table(spark, d, "events").select(
         "event_id", F.lag("event_type").over(w).alias("before"), F.lead("value", 2, 0.0).over(w).alias("after"), F.first("event_id").over(w).alias("first"), F.last("event_id").over(whole).alias("last")
     )
 
 
-@query("w3_rows_frame", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
+@query("w3_rows_frame", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
 def w3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(W.partitionBy("user_id").orderBy("ts").rowsBetween(-3, 0)), 6).alias("moving"))
+    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)), 6).alias("moving"))
 
 
 @query("w4_time_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM events")
@@ -330,10 +351,11 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
     FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10""",
 )
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector against all others. Map tasks keep ten rows a query, so pairs are not shuffled."""
+    """Every fiftieth vector against all others, queries in broadcast blocks. Map tasks keep ten rows a query, so pairs are not shuffled."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
-    pairs = e.join(small(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("probe"), F.col("embedding")).alias("score"))
+    pairs = [e.join(block, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("probe"), F.col("embedding")).alias("score")) for block in in_blocks(q, "query_id")]
+    pairs = reduce(DataFrame.unionByName, pairs)
     return top_k(pairs, ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -456,10 +478,10 @@ def c8_map(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.explode(F.map_filter(m, lambda _, x: x > F.lit(0.3))).alias("pos", "x"))
 
 
-@query("c9_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice), 4) AS root, round(ln(l_extendedprice), 4) AS log, round(l_extendedprice, 1) AS half_up, floor(l_extendedprice / 7)::BIGINT AS sevenths FROM lineitem")
+@query("c9_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice), 4) AS root, round(ln(l_extendedprice), 4) AS log, round(l_extendedprice, 1) AS half_up, round_even(l_quantity / 2, 0)::BIGINT AS half_even, floor(l_extendedprice / 7)::BIGINT AS sevenths FROM lineitem")
 def c9(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.sqrt(p), 4).alias("root"), F.round(F.ln(p), 4).alias("log"), F.round(p, 1).alias("half_up"), F.floor(p / 7).cast("long").alias("sevenths"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.sqrt(p), 4).alias("root"), F.round(F.ln(p), 4).alias("log"), F.round(p, 1).alias("half_up"), F.bround(F.col("l_quantity") / 2, 0).cast("long").alias("half_even"), F.floor(p / 7).cast("long").alias("sevenths"))
 
 
 _BOXES = [(0, 0.0, 0.0, 4.0, 4.0), (1, 2.0, 2.0, 6.0, 6.0), (2, 4.0, 0.0, 8.0, 4.0), (3, 1.0, 1.0, 1.0, 5.0), (4, 0.0, 0.0, 4.0, 3.0)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch, table
 from ..streaming.drain import drain, events, file_stream
-from ..streaming.stateful import milestones
+from ..streaming.stateful import milestones, rocks_db
 from .registry import query
 
 
@@ -76,7 +76,8 @@ def t5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t6_stateful", "SELECT user_id, event_id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 20 = 0")
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    return drain(milestones(events(spark, d), 20))
+    with rocks_db(spark):
+        return drain(milestones(events(spark, d), 20))
 
 
 @query(

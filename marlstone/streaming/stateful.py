@@ -3,24 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks_db(spark: SparkSession):
+    """State in RocksDB while it lasts, as ``transformWithState`` asks for; a query takes the setting when it starts."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+class Milestones(StatefulProcessor):
+    """Counts a user's events; the state is the count so far."""
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        for _, event_id in sorted((r["ts"], r["event_id"]) for r in rows):
+            n += 1
+            if n % self.every == 0:
+                yield Row(user_id=key[0], event_id=event_id, n=n)
+        self.count.update((n,))
+
+    def close(self) -> None:
+        pass
 
 
 def milestones(events: DataFrame, every: int) -> DataFrame:
     """Rows at which a user's running event count reaches a multiple of ``every``: ``user_id, event_id, n``.
 
-    The state is the count; within a batch a user's events are taken by time.
+    Within a batch a user's events are taken by time, then id; only these two are
+    held.  Run it within ``rocks_db``.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        rows["n"] = range(n + 1, n + len(rows) + 1)
-        state.update((n + len(rows),))
-        hit = rows[rows["n"] % every == 0]
-        yield pd.DataFrame({"user_id": hit["user_id"], "event_id": hit["event_id"], "n": hit["n"]})
-
-    schema = "user_id long, event_id long, n long"
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, schema, "n long", "append", "NoTimeout")
+    slim = events.select("user_id", "event_id", "ts").groupBy("user_id")
+    return slim.transformWithState(Milestones(every), "user_id long, event_id long, n long", "append", "none")
