@@ -13,10 +13,18 @@ WITH p AS (
   FROM p WHERE host IS NOT NULL
 ), s AS (
   SELECT domain, ['adult', 'malware', 'spam'][c % 3 + 1] AS category, b, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (a % 200) AS first FROM h WHERE d % 7 < 4
+), u AS (
+  SELECT domain, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (('0x' || substr(md5(domain), 1, 4))::INT % 200) AS first,
+         ('0x' || substr(md5(domain), 17, 4))::INT AS x, ('0x' || substr(md5(domain), 21, 4))::INT AS y
+  FROM (SELECT DISTINCT regexp_extract(domain, '[^.]+\.[^.]+$') AS domain FROM h) WHERE domain <> ''
 ), v AS (
   SELECT domain, category, first AS valid_from, CASE WHEN b % 2 = 0 THEN first + INTERVAL 90 DAY END AS valid_to FROM s
   UNION ALL
   SELECT domain, category, first + INTERVAL 150 DAY, NULL FROM s WHERE b % 4 = 0
+  UNION ALL
+  SELECT domain, 'network', first, first + INTERVAL 120 DAY FROM u WHERE x % 5 < 2
+  UNION ALL
+  SELECT domain, 'tracker', first, first + INTERVAL 120 DAY FROM u WHERE y % 5 < 2
 ), hits AS (
   SELECT page_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, min(valid_from) AS active_since
   FROM p JOIN v ON (host = domain OR (host LIKE '%.' || domain AND domain LIKE '%.%')) AND valid_from <= seen AND (valid_to IS NULL OR seen < valid_to)
