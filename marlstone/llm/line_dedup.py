@@ -20,6 +20,7 @@ a second round looks for one match among all, again without emitting pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -40,6 +41,8 @@ BUCKET_WORDS = 1_300_000
 BROADCAST_BYTES = 48 << 20
 #: A pair whose parity bits differ in at most this share of what the threshold allows is taken for a match until verified.
 SURE = 0.5
+#: Words with more entries than HOT_ENTRIES, by one document in HOT_SHARE, are dealt in blocks of BLOCK_ENTRIES; each two blocks are a bucket.
+HOT_SHARE, HOT_ENTRIES, BLOCK_ENTRIES = 64, 2_000_000, 1_000_000
 NEAREST = 12
 #: Candidates after which a line with a sure one among them looks no further.
 ENOUGH = 24
@@ -206,13 +209,72 @@ def _entries(ids: np.ndarray, lines: Lines, t: float, bucket_bits: int, rows: np
     return [bucket, key, np.minimum(pos, 65535).astype(np.uint16), lines.size[line].astype(np.uint32), lines.parity[line], lines.hash[line], ids[lines.doc[line]], lines.line[line], *wide, line, word]
 
 
+@dataclass(frozen=True)
+class Hot:
+    """words: ascending keys of the words that are dealt; blocks: how many each has."""
+
+    words: np.ndarray
+    blocks: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Blocks of each word, 1 for one that is not dealt."""
+        if not len(self.words):
+            return np.ones(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.blocks[at], 1)
+
+
+#: Sides of the entries of a bucket of two blocks are 0 and 1; this is that of a block's own bucket.
+WITHIN = 2
+
+
+def _block(sethash: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix(sethash.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _deal(entries: list[np.ndarray], hot: Hot) -> list[np.ndarray]:
+    """Entries of hot words once for each bucket of two blocks that their block is in; those buckets have negative numbers."""
+    word = entries[-1]
+    blocks = hot.of(word)
+    if not (blocks > 1).any():
+        return entries
+    copy = np.repeat(np.arange(len(word)), blocks)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    out = [c[copy] for c in entries]
+    mine, many = _block(entries[5], blocks)[copy], blocks[copy] > 1
+    pair = (np.minimum(mine, other) << 32) | np.maximum(mine, other)
+    out[0] = np.where(many, -1 - (mix(mix(out[-1]) ^ pair.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), out[0])
+    side = np.where(mine == other, WITHIN, mine > other).astype(np.uint32)
+    out[1] = np.where(many, side, out[1])
+    return out
+
+
+@tidy
+def _prefixes(batches: Iterator[pa.RecordBatch], rank_of, t: float) -> Iterator[pa.RecordBatch]:
+    """Entries of each word in a run of documents, counted."""
+    rank = rank_of()
+    for batch in batches:
+        ids = _ids(batch.column(0))
+        for a, b, table, base in tables(batch.column(1)):
+            words, n = np.unique(_entries(ids[a:b], Lines(table, rank, base=base), t, 0)[-1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def hot_words(docs: DataFrame, rank_of, t: float) -> Hot:
+    """Words under which too many lines meet for one task, by a share of the documents; how lines are dealt does not change what is found."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SHARE)) == 0)
+    counts = some.mapInArrow(partial(_prefixes, rank_of=rank_of, t=t), "word long, n long").groupBy("word").agg((F.sum("n") * HOT_SHARE).alias("n"))
+    rows = sorted((r["word"] & 0xFFFFFFFFFFFFFFFF, -(-r["n"] // BLOCK_ENTRIES)) for r in counts.where(F.col("n") > HOT_ENTRIES).collect())  # at most a row for HOT_ENTRIES entries
+    return Hot(np.array([w for w, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64))
+
+
 @tidy
-def _index(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    rank, held, n = rank_of(), [], 0
+def _index(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int, hot_of) -> Iterator[pa.RecordBatch]:
+    rank, hot, held, n = rank_of(), hot_of(), [], 0
     for batch in batches:
         ids = _ids(batch.column(0))
         for a, b, table, base in tables(batch.column(1)):
-            held.append(_entries(ids[a:b], Lines(table, rank, base=base), t, bucket_bits)[:-2])
+            held.append(_deal(_entries(ids[a:b], Lines(table, rank, base=base), t, bucket_bits), hot)[:-2])
             n += len(held[-1][0])
             if n >= INDEX_ROWS:
                 yield from _pack_entries(held)
@@ -247,7 +309,7 @@ def _pack_entries(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     columns = [np.concatenate([p[i] for p in parts]) for i in range(len(ENTRY) + 1)]
-    order = np.argsort(_word(columns[0], columns[1]))
+    order = np.argsort(_word(columns[0], columns[1])) if not len(columns[0]) or columns[0].min() >= 0 else np.lexsort((columns[1], columns[0]))
     columns = [c[order] for c in columns]
     bucket = columns[0]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
@@ -265,9 +327,15 @@ def _load(table: pa.Table) -> list[np.ndarray]:
     return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, d) for i, d in enumerate(ENTRY)]
 
 
-def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Entries by word, then size, copies of a set side by side with the earliest first; which are later copies, and of which entry."""
+def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by word, then size, copies of a set side by side with the earliest first; which are later copies, and of which entry; their sides.
+
+    A bucket of a hot word has no other words, and its keys are sides.
+    """
     c = _load(table)
+    side = np.full(len(c[0]), WITHIN, np.uint32)
+    if len(side) and table["bucket"][0].as_py() < 0:
+        side, c[0] = c[0], np.zeros(len(side), np.uint32)
     key, _, size, parity, sethash, doc, line = c[:7]
     # Sizes that 16 bits do not hold are ties, ordered below by the true size.
     top = np.where(size < 0xFFFF, sethash >> np.uint32(16), np.uint32(0)).astype(np.uint64)
@@ -283,7 +351,7 @@ def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.n
         same = c[i][1:] == c[i][:-1]
         copy[1:] = same if i == 0 else copy[1:] & same
     lead = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
-    return c, copy, lead
+    return c, copy, lead, side[order]
 
 
 def _candidate(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,8 +396,12 @@ def _reach(key: np.ndarray, size: np.ndarray, rest: np.ndarray, t: float) -> tup
 
 
 def _propose(table: pa.Table, t: float) -> pa.Table:
-    """For each line under a word its nearest earlier candidates; for copies of a set the earliest, as equal."""
-    c, copy, lead = _sorted_entries(table)
+    """For each line under a word its nearest earlier candidates; for copies of a set the earliest, as equal.
+
+    In a bucket of two blocks of a hot word only entries of different blocks meet.
+    """
+    c, copy, lead, side = _sorted_entries(table)
+    across = bool(len(side)) and side[0] < WITHIN
     key, pos, size, _, _, doc, line = c[:7]
     own = np.flatnonzero(~copy)
     n = len(own)
@@ -345,7 +417,9 @@ def _propose(table: pa.Table, t: float) -> pa.Table:
     def meet(late: np.ndarray, early: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that pass, their differing bits and how many may differ."""
         early_end = end[early]
-        go = (when[early] < when[late]) & ((early > late) | (early_end > late))
+        go = (when[early] < when[late]) & ((early > late) | (early_end > late)) 
+        if across:
+            go &= side[own[early]] != side[own[late]]
         late, early = late[go], early[go]
         passes, x, most = _candidate(c, own[late], own[early], t)
         late, early, x, most = late[passes], early[passes], x[passes], most[passes]
@@ -388,7 +462,7 @@ def _propose(table: pa.Table, t: float) -> pa.Table:
     b, a, x = np.concatenate((has, b2[other])), np.concatenate((best_of[has], a2[other])), np.concatenate((best[has], x2[other]))
     count = np.bincount(b, minlength=n)
     out = _proposals(c, own[b], own[a], np.zeros(len(b), bool), found_sure[b], seen[b] > count[b], x)
-    later = np.flatnonzero(copy & (pos == 0) & ((doc > doc[lead]) | ((doc == doc[lead]) & (line > line[lead]))))
+    later = np.zeros(0, np.int64) if across else np.flatnonzero(copy & (pos == 0) & ((doc > doc[lead]) | ((doc == doc[lead]) & (line > line[lead]))))
     no = np.zeros(len(later), bool)
     return pa.concat_tables([out, _proposals(c, later, lead[later], ~no, no, no, np.zeros(len(later), np.int64))])
 
@@ -514,7 +588,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = spark.sparkContext.broadcast(rank)  # 2 MB at every size
     rank_of = partial(_value, shared)
     bucket_bits = min(32, max(0, -(-n_words // BUCKET_WORDS) - 1).bit_length())
-    entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits), "bucket long, n int, body binary")
+    hot = spark.sparkContext.broadcast(hot_words(docs, rank_of, threshold))
+    entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits, hot_of=partial(_value, hot)), "bucket long, n int, body binary")
     proposed = cut(entries.groupBy("bucket").applyInArrow(_grouped(_propose, threshold), PROPOSAL))
     equal = proposed.where("equal").select("b").distinct()
     best = F.min(F.struct(~F.col("sure"), "distance", "a")).alias("best")

@@ -41,7 +41,7 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "SLOT_BITS": 15}, {"SURE": 2.0, "NEAREST": 0, "ENOUGH": 1, "INDEX_ROWS": 5}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_WORDS": 40}])
+@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "SLOT_BITS": 15}, {"SURE": 2.0, "NEAREST": 0, "ENOUGH": 1, "INDEX_ROWS": 5}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_WORDS": 40}, {"HOT_SHARE": 1, "HOT_ENTRIES": 4, "BLOCK_ENTRIES": 3}, {"HOT_SHARE": 1, "HOT_ENTRIES": 0, "BLOCK_ENTRIES": 1, "ENOUGH": 2}])
 def test_against_all_pairs(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(line_dedup, k, v)
