@@ -58,7 +58,7 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"VERIFY_BLOCK": 7, "BUCKET_BLOCK": 5, "FEW": 2, "BROADCAST_ROWS": -1}, {"FEW": 1}])
+@pytest.mark.parametrize("settings", [{}, {"VERIFY_BLOCK": 7, "BUCKET_BLOCK": 5, "FEW": 2, "BROADCAST_ROWS": -1}, {"FEW": 1}, {"VERIFY_BYTES": 20_000, "LEAST_BLOCK": 3}])
 def test_against_all_pairs(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(nd, k, v)
