@@ -46,9 +46,10 @@ class Settings:
         return self.bands * self.rows
 
 
-#: Members of a bucket, and texts of a component, in a block.
+#: Members of a bucket in a block; texts of a component in a block, and bytes of their shingles, on average, in one.
 BUCKET_BLOCK = 20_000
-VERIFY_BLOCK = 512
+VERIFY_BLOCK, LEAST_BLOCK = 2048, 64
+VERIFY_BYTES = 32 << 20
 BROADCAST_ROWS = 250_000
 FEW = 8
 SEEN = 100_000
@@ -145,7 +146,8 @@ def _sign(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
             sig, band = minhash(keys, at, s)
             part = batch.slice(a, b - a).take(pa.array(full))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * s.bands, pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in sig], pa.binary()), bands], names=["u1", "u2", "sig", "bands"])
+            size = pa.array(np.diff(at)[full], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in sig], pa.binary()), bands, size], names=["u1", "u2", "sig", "bands", "size"])
 
 
 def _matrix(column, s: Settings) -> np.ndarray:
@@ -305,11 +307,11 @@ def _verify(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> pa.Ta
 LINKS = "label long, u1 long, u2 long, n_links long, r1 long, r2 long"
 
 
-def _blocks(n: Column, size: int) -> Column:
+def _blocks(n: Column, size: int | Column) -> Column:
     return F.ceil(n / size).cast("int")
 
 
-def _block_tasks(rows: DataFrame, key: str, n: str, size: int, tasks: int) -> DataFrame:
+def _block_tasks(rows: DataFrame, key: str, n: str, size: int | Column, tasks: int) -> DataFrame:
     """Rows with ``block, left, right, task, slot``: each pair of blocks of a group is one task; small groups share slots."""
     hashed = F.pmod(F.xxhash64("u1", F.lit(1)), F.col("nb")).cast("int")
     r = rows.withColumn("nb", _blocks(F.col(n), size)).withColumn("block", hashed)
@@ -328,7 +330,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_identity(F.col("text")))
-    signed = cut(texts.select("u1", "u2", "text").mapInArrow(lambda it: _sign(it, s), "u1 long, u2 long, sig binary, bands array<long>").dropDuplicates(["u1", "u2"]))
+    signed = cut(texts.select("u1", "u2", "text").mapInArrow(lambda it: _sign(it, s), "u1 long, u2 long, sig binary, bands array<long>, size long").dropDuplicates(["u1", "u2"]))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), signed.rdd.getNumPartitions()) * 2
     banded = signed.select("u1", "u2", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -340,13 +342,14 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     named = labels.withColumnRenamed("node", "u1")
     held = texts.join(F.broadcast(named) if few else named, "u1").select("u1", "u2", "label", "text")
     ready = held.mapInArrow(lambda it: _shingled(it, s), "u1 long, u2 long, label long, sig binary, shingles binary")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = F.broadcast(sizes) if few else sizes
-    blocks = _block_tasks(ready.join(sizes, "label"), "label", "n", VERIFY_BLOCK, tasks).select("slot", "task", "label", "block", "left", "right", "u1", "u2", "sig", "shingles")
+    each = labels.join(signed.select(F.col("u1").alias("node"), "size"), "node")
+    block = F.floor(VERIFY_BYTES / (8 * F.avg("size")))
+    sizes = cut(each.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(VERIFY_BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, VERIFY_BLOCK)), block)).alias("most")))
+    blocks = _block_tasks(ready.join(F.broadcast(sizes) if few else sizes, "label"), "label", "n", F.col("most"), tasks).select("slot", "task", "label", "block", "left", "right", "u1", "u2", "sig", "shingles")
     found = cut(blocks.groupBy("slot").applyInArrow(lambda t: _verify(t, s, steps), LINKS))
     counted = found.groupBy("u1", "u2").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("r1", "r2")).alias("r"), F.first("label").alias("label"))
     nodes = counted.select("u1", "u2", "n_links", "r.*", "label")
-    large = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(f"n > {VERIFY_BLOCK}").select("label")
+    large = sizes.where("n > most").select("label")
     if large.take(1):
         # Components in several blocks: the forests of the blocks are joined.
         ends = found.join(large, "label", "left_semi").where("u1 <> r1 OR u2 <> r2").select(F.col("u1").alias("a"), F.col("r1").alias("b"))
