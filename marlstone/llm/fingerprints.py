@@ -64,7 +64,7 @@ def fingerprint(texts: DataFrame, text_col: str = "text", bucket_of=_bucket) ->
     one fingerprint.  An empty table gives an empty one.
 
     Only hashes are shuffled for all rows.  Texts move only where a bucket has
-    several members, and there a row for each different text and map task, as the
+    several members (and a few others, see ``_flagged``), and there a row for each different text and map task, as the
     comparison of bytes is a grouping on (bucket, text) that combines before it
     shuffles: a group of copies with a third of all rows costs a row a task.
     ``bucket_of`` is for tests, to force different texts into one bucket.
@@ -72,7 +72,8 @@ def fingerprint(texts: DataFrame, text_col: str = "text", bucket_of=_bucket) ->
     mine = texts.withColumn("__fp_canon", canonical(F.col(text_col)))
     mine = mine.withColumn("__fp_bucket", bucket_of(*_hashes(F.col("__fp_canon"))))
     stacked = mine.select(F.col("__fp_bucket").alias("bucket"), F.col("__fp_canon").alias("canon"))
-    numbers = collisions(stacked.join(_shared(stacked.select("bucket")), "bucket", "left_semi"))
+    shared = _shared(stacked.select("bucket")).select(F.xxhash64("bucket").alias("key"))
+    numbers = collisions(_flagged(stacked, F.xxhash64("bucket"), shared))
     return _numbered(mine, numbers, "__fp_bucket", "__fp_canon", "fingerprint").drop("__fp_bucket", "__fp_canon")
 
 

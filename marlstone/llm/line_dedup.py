@@ -588,8 +588,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = spark.sparkContext.broadcast(rank)  # 2 MB at every size
     rank_of = partial(_value, shared)
     bucket_bits = min(32, max(0, -(-n_words // BUCKET_WORDS) - 1).bit_length())
-    hot = spark.sparkContext.broadcast(hot_words(docs, rank_of, threshold))
-    entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits, hot_of=partial(_value, hot)), "bucket long, n int, body binary")
+    found_hot = hot_words(docs, rank_of, threshold)
+    hot = spark.sparkContext.broadcast((found_hot.words, found_hot.blocks))  # plain arrays, as executors need not have this package
+    entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits, hot_of=partial(_hot, hot)), "bucket long, n int, body binary")
     proposed = cut(entries.groupBy("bucket").applyInArrow(_grouped(_propose, threshold), PROPOSAL))
     equal = proposed.where("equal").select("b").distinct()
     best = F.min(F.struct(~F.col("sure"), "distance", "a")).alias("best")
@@ -611,6 +612,10 @@ def _value(shared):
     return shared.value
 
 
+def _hot(shared) -> Hot:
+    return Hot(*shared.value)
+
+
 def _grouped(f, t: float):
     def run(table):
         out = f(table, t)
