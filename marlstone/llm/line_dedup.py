@@ -36,7 +36,9 @@ THRESHOLD = 0.8
 RANK_BITS = 18
 SKETCH_CHUNKS = 16
 #: Words of the input for a bucket, on average; a task holds one bucket at a time.
-BUCKET_WORDS = 1_300_000
+BUCKET_WORDS = 2_600_000
+#: A task sends entries to up to so many receivers, as a power of two; with more buckets, nodes in between gather and pass on.
+FAN_BITS = 11
 #: Size up to which the affected documents and their lines are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: A pair whose parity bits differ in at most this share of what the threshold allows is taken for a match until verified.
@@ -270,16 +272,28 @@ def hot_words(docs: DataFrame, rank_of, t: float) -> Hot:
 
 @tidy
 def _index(batches: Iterator[pa.RecordBatch], rank_of, t: float, bucket_bits: int, hot_of) -> Iterator[pa.RecordBatch]:
+    """Packed entries for each receiver: a bucket, or with many of them a range of buckets."""
     rank, hot, held, n = rank_of(), hot_of(), [], 0
+    shift = max(0, bucket_bits - FAN_BITS)
     for batch in batches:
         ids = _ids(batch.column(0))
         for a, b, table, base in tables(batch.column(1)):
             held.append(_deal(_entries(ids[a:b], Lines(table, rank, base=base), t, bucket_bits), hot)[:-2])
             n += len(held[-1][0])
             if n >= INDEX_ROWS:
-                yield from _pack_entries(held)
+                yield from _pack_entries(held, shift)
                 held, n = [], 0
-    yield from _pack_entries(held)
+    yield from _pack_entries(held, shift)
+
+
+def _passing(shift: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Entries of a range of buckets, packed anew for the next receivers."""
+        out = pa.Table.from_batches(list(_pack_entries([_unpack(table, True)], shift)))
+        release()
+        return out
+
+    return run
 
 
 @tidy
@@ -305,26 +319,47 @@ def _word(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bucket.astype(np.uint64) << np.uint64(32)) | key
 
 
-def _pack_entries(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _pack_entries(parts: list[list[np.ndarray]], shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, or for each 2 ** shift of them, which then holds the buckets too; hot ones fall into these ranges by their number."""
     if not parts:
         return
     columns = [np.concatenate([p[i] for p in parts]) for i in range(len(ENTRY) + 1)]
     order = np.argsort(_word(columns[0], columns[1])) if not len(columns[0]) or columns[0].min() >= 0 else np.lexsort((columns[1], columns[0]))
     columns = [c[order] for c in columns]
     bucket = columns[0]
+    if shift:
+        to = np.where(bucket >= 0, bucket >> shift, (-1 - bucket) % (1 << FAN_BITS))
+        order = np.argsort(to, kind="stable")
+        columns = [c[order] for c in columns]
+        columns, bucket = [to[order], *columns[1:], columns[0]], to[order]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(bucket))
     if len(at):
-        body = [pack(*[c[a:b] for c in columns[1:]]) for a, b in zip(at, ends, strict=True)]
+        body = [pack(*_sorted_for_pack([c[a:b] for c in columns[1:]])) for a, b in zip(at, ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array((ends - at).astype(np.int32)), pa.array(body, pa.binary())], names=["bucket", "n", "body"])
 
 
 # Buckets
 
 
+def _sorted_for_pack(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """By key, as packing asks for; entries with buckets have several runs of keys."""
+    if len(columns) == len(ENTRY):
+        return columns
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _unpack(table: pa.Table, with_bucket: bool) -> list[np.ndarray]:
+    """Entry columns of all messages, after their buckets if they hold them."""
+    kinds = (*ENTRY, np.int64) if with_bucket else ENTRY
+    got = [unpack(b, n, *kinds) for b, n in zip(table["body"].to_pylist(), table["n"].to_pylist(), strict=True)]
+    out = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, d) for i, d in enumerate(kinds)]
+    return [out[-1], *out[:-1]] if with_bucket else out
+
+
 def _load(table: pa.Table) -> list[np.ndarray]:
-    got = [unpack(b, n, *ENTRY) for b, n in zip(table["body"].to_pylist(), table["n"].to_pylist(), strict=True)]
-    return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, d) for i, d in enumerate(ENTRY)]
+    return _unpack(table, False)
 
 
 def _sorted_entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -591,6 +626,13 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found_hot = hot_words(docs, rank_of, threshold)
     hot = spark.sparkContext.broadcast((found_hot.words, found_hot.blocks))  # plain arrays, as executors need not have this package
     entries = docs.mapInArrow(partial(_index, rank_of=rank_of, t=threshold, bucket_bits=bucket_bits, hot_of=partial(_hot, hot)), "bucket long, n int, body binary")
+    upto = FAN_BITS
+    while upto < bucket_bits:
+        # Nodes that share a range of buckets, so that each holds about what a bucket does.
+        shares = 1 << (bucket_bits - upto)
+        node = F.col("bucket") * shares + F.pmod(F.xxhash64("body"), F.lit(shares))
+        upto += FAN_BITS
+        entries = entries.withColumn("node", node).groupBy("node").applyInArrow(_passing(max(0, bucket_bits - upto)), "bucket long, n int, body binary")
     proposed = cut(entries.groupBy("bucket").applyInArrow(_grouped(_propose, threshold), PROPOSAL))
     equal = proposed.where("equal").select("b").distinct()
     best = F.min(F.struct(~F.col("sure"), "distance", "a")).alias("best")

@@ -41,7 +41,7 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "SLOT_BITS": 15}, {"SURE": 2.0, "NEAREST": 0, "ENOUGH": 1, "INDEX_ROWS": 5}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_WORDS": 40}, {"HOT_SHARE": 1, "HOT_ENTRIES": 4, "BLOCK_ENTRIES": 3}, {"HOT_SHARE": 1, "HOT_ENTRIES": 0, "BLOCK_ENTRIES": 1, "ENOUGH": 2}])
+@pytest.mark.parametrize("settings", [{}, {"SURE": 2.0, "NEAREST": 0}, {"SURE": -1.0, "NEAREST": 1, "SLOT_BITS": 15}, {"SURE": 2.0, "NEAREST": 0, "ENOUGH": 1, "INDEX_ROWS": 5}, {"RANK_BITS": 4, "SKETCH_CHUNKS": 2}, {"BROADCAST_BYTES": -1, "BUCKET_WORDS": 40}, {"HOT_SHARE": 1, "HOT_ENTRIES": 4, "BLOCK_ENTRIES": 3}, {"HOT_SHARE": 1, "HOT_ENTRIES": 0, "BLOCK_ENTRIES": 1, "ENOUGH": 2}, {"FAN_BITS": 1, "BUCKET_WORDS": 200, "HOT_SHARE": 1, "HOT_ENTRIES": 20, "BLOCK_ENTRIES": 9, "INDEX_ROWS": 30}, {"FAN_BITS": 3, "BUCKET_WORDS": 40}])
 def test_against_all_pairs(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(line_dedup, k, v)
@@ -125,3 +125,23 @@ def _tables_of(monkeypatch, texts, most):
     out = list(line_dedup.tables(pa.array(texts)))
     monkeypatch.undo()
     return out
+
+
+@pytest.mark.parametrize("bucket_bits", [4, 12, 24])
+def test_senders_have_few_receivers(monkeypatch, bucket_bits):
+    """However many buckets there are, a pack of entries goes to 2 ** FAN_BITS receivers, and nodes pass on to as many."""
+    monkeypatch.setattr(line_dedup, "FAN_BITS", 4)
+    rank = np.arange(1 << line_dedup.RANK_BITS, dtype=np.uint64)
+    text = "\n".join(f"w{i} x{i}" for i in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    none = line_dedup.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent = list(line_dedup._index(iter([batch]), lambda: rank, 0.8, bucket_bits, lambda: none))
+    assert [b.num_rows for b in sent] == [16]
+    upto, tables, buckets = 4, [pa.Table.from_batches([sent[0].slice(k, 1)]) for k in range(16)], 0
+    while upto < bucket_bits:
+        upto += 4
+        tables = [out.slice(k, 1) for t in tables for out in [line_dedup._passing(max(0, bucket_bits - upto))(t)] for k in range(out.num_rows) if out.num_rows <= 16 or pytest.fail("too many receivers")]
+    found = [line_dedup._load(t) for t in tables]
+    want = line_dedup._entries(np.array([1]), line_dedup.Lines(next(iter(line_dedup.tables(batch.column(1))))[2], rank), 0.8, bucket_bits)
+    assert sorted(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[6] for f in found]).tolist(), strict=True)) == sorted(zip(want[1].tolist(), want[7].tolist(), strict=True))
+    assert {t["bucket"][0].as_py() for t in tables} == set(want[0].tolist())
