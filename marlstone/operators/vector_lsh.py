@@ -36,11 +36,11 @@ def differing(a: Column, b: Column, words: int) -> Column:
 
 def cut_off(base: DataFrame, queries: DataFrame, share: float, sample: int) -> int:
     """Differing bits up to which about ``share`` of all pairs lie, by ``sample`` rows of base and of queries at most."""
-    some = lambda df, c: np.array([r[0] for r in df.where(F.col(c).isNotNull()).orderBy(F.xxhash64(c)).select(c).limit(sample).collect()], np.int64)
+    some = lambda df, c: np.array([r[0] for r in df.where(F.col(c).isNotNull()).orderBy(F.xxhash64(c)).select(c).limit(sample).collect()], np.int64).view(np.uint64)
     a, b = some(base, "__b"), some(queries, "__q")
     if not len(a) or not len(b):
         return 0
-    counts = [np.bitwise_count(x ^ a).sum(axis=1) for x in b]
+    counts = [np.bitwise_count(x ^ a).sum(axis=1) for x in b]  # of signed numbers it would count those of the absolute value
     return int(np.quantile(np.concatenate(counts), share))
 
 

@@ -63,3 +63,38 @@ def test_files_keep_nulls_and_quotes(spark):
     df = spark.createDataFrame([(1, 'say "hi", you', at(1)), (2, None, None), (3, "line\\n", at(2))], "i int, s string, t timestamp_ntz")
     assert sorted(map(tuple, csv_round_trip(df).collect())) == sorted(map(tuple, df.collect()))
     assert sorted(map(tuple, json_round_trip(df).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_sketches_prune_most_pairs(spark, sf_dir):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from marlstone.operators import vector_lsh
+    from marlstone.operators.joins import in_blocks
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    b = e.select("vec_id", vector_lsh.sketches(F.col("embedding"), 64, 512, 42).alias("__b"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), vector_lsh.sketches(F.col("embedding"), 64, 512, 42).alias("__q"))
+    most = vector_lsh.cut_off(b, q, 0.15, 1000)
+    pairs = reduce(DataFrame.unionByName, [b.join(block, vector_lsh.differing(F.col("__q"), F.col("__b"), 8) <= most) for block in in_blocks(q, "query_id", rows=3)])
+    scored, everything = pairs.count(), b.count() * q.count()
+    assert 0.05 * everything < scored < 0.2 * everything
+
+
+def test_blocks_hold_all_queries(spark):
+    from marlstone.operators.joins import in_blocks
+
+    q = spark.range(100)
+    blocks = in_blocks(q, "id", rows=7)
+    assert len(blocks) == 15 and sorted(r[0] for b in blocks for r in b.collect()) == list(range(100))
+    assert in_blocks(spark.range(0), "id")[0].collect() == []
+
+
+def test_vectors_that_do_not_fit(spark):
+    from marlstone.operators.vector_lsh import lsh_top_k
+
+    rows = [(k, [float(k % 7) - 3.0, 1.0, float(k % 5)]) for k in range(40)] + [(50, None), (51, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = lsh_top_k(df, df.where("vec_id IN (0, 50, 51)"), "vec_id", "embedding", 3, bits=64, share=1.0).collect()
+    assert {r["query_id"] for r in got} == {0} and len(got) == 3 and not {r["vec_id"] for r in got} & {50, 51}
