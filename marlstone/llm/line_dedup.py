@@ -73,10 +73,16 @@ def prefix(n: np.ndarray, t: float) -> np.ndarray:
 
 @tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << RANK_BITS, np.int64)
+    table, held, n = np.zeros(1 << RANK_BITS, np.int64), [], 0
     for batch in batches:
         for _, _, t in chunks(batch.column(0), cut_at=IS_SPACE):
-            table += np.bincount((t.word_hashes() & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), minlength=len(table))
+            held.append((t.word_hashes() & np.uint64((1 << RANK_BITS) - 1)).astype(np.int32))
+            n += len(held[-1])
+            if n > 1 << 20:
+                table += np.bincount(np.concatenate(held), minlength=len(table))
+                held, n = [], 0
+    if held:
+        table += np.bincount(np.concatenate(held), minlength=len(table))
     yield _chunks_of(table, range(SKETCH_CHUNKS))
 
 
@@ -151,11 +157,14 @@ class Lines:
             self.hash = (mix(np.add.reduceat(word, self.first)) >> np.uint64(32)).astype(np.uint32)
             bit, part = np.uint64(1) << (word & np.uint64(63)), (word >> np.uint64(6)) & np.uint64(3)
             self.parity = np.bitwise_xor.reduceat(bit, self.first)
-            none = np.uint64(0)
-            long = np.repeat(self.size > LONG, self.size)
-            self.wide = np.array([np.bitwise_xor.reduceat(np.where(long & (part == k), bit, none), self.first) for k in (1, 2, 3)])
-            second = mix(np.add.reduceat(word * (word >> np.uint64(29) | np.uint64(1)), self.first))
-            self.wide[0] = np.where(self.size > LONG, self.wide[0], second)
+            self.wide = np.zeros((3, len(self.size)), np.uint64)
+            self.wide[0] = mix(np.add.reduceat(word * (word >> np.uint64(29) | np.uint64(1)), self.first))
+            long = np.flatnonzero(self.size > LONG)
+            if len(long):
+                rows = np.repeat(self.first[long] - (np.cumsum(self.size[long]) - self.size[long]), self.size[long]) + np.arange(int(self.size[long].sum()))
+                starts = np.cumsum(self.size[long]) - self.size[long]
+                for k in (1, 2, 3):
+                    self.wide[k - 1, long] = np.bitwise_xor.reduceat(np.where(part[rows] == k, bit[rows], np.uint64(0)), starts)
 
 
 def tables(column: pa.Array) -> Iterator[tuple[int, int, Words, int]]:
@@ -264,7 +273,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rank_of, t: float) -> Iterator[
 
 def hot_words(docs: DataFrame, rank_of, t: float) -> Hot:
     """Words under which too many lines meet for one task, by a share of the documents; how lines are dealt does not change what is found."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SHARE)) == 0)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(HOT_SHARE)) == 0)
     counts = some.mapInArrow(partial(_prefixes, rank_of=rank_of, t=t), "word long, n long").groupBy("word").agg((F.sum("n") * HOT_SHARE).alias("n"))
     rows = sorted((r["word"] & 0xFFFFFFFFFFFFFFFF, -(-r["n"] // BLOCK_ENTRIES)) for r in counts.where(F.col("n") > HOT_ENTRIES).collect())  # at most a row for HOT_ENTRIES entries
     return Hot(np.array([w for w, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64))
