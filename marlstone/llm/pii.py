@@ -232,7 +232,9 @@ def _login(t: str, after: int) -> tuple[int, int] | None:
 def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in the whole text, by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    folded = text.lower() if text.isascii() else text.translate(FOLD)
+    folded = text.lower()
+    if len(folded) != len(text):  # a few letters become two
+        folded = text.translate(FOLD)
     past = {"email": 0, "dots": 0, "card": 0, "phone": 0, "value": 0}
     for last, tag in automaton.iter(folded):
         if tag == "digit":
