@@ -113,4 +113,78 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_substring_dedup": OP9}
+#: The table of the byte-wise CRC-32, and the CRC of hexadecimal bytes.
+_CRC_TABLE = """k AS (SELECT list(c ORDER BY i) AS k FROM (
+  SELECT i, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i)))"""
+_CRC = "xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP13 = f"""
+WITH {_CRC_TABLE},
+x AS (SELECT TRUE AS own, doc_id AS id, {_WORDS} AS w FROM documents UNION ALL SELECT FALSE, item_id, {_WORDS} FROM benchmark),
+f AS (SELECT own, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM x),
+g AS (SELECT own, id, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+c AS (SELECT f, {_CRC} % 10000 AS bucket FROM h, k),
+b AS (SELECT own, id, bucket, sum(n)::BIGINT AS n FROM g JOIN c ON g.f = c.f GROUP BY ALL),
+n AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM b GROUP BY bucket),
+z AS (SELECT sum(s) + 10000 AS s, sum(t) + 10000 AS t FROM n),
+a AS (SELECT bucket, floor(1000 * ln((n.t + 1) * z.s / ((n.s + 1) * z.t)))::BIGINT AS gain FROM n, z),
+w AS (SELECT id, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n FROM b JOIN a ON b.bucket = a.bucket WHERE own GROUP BY id),
+d AS (SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, coalesce(len(x.w), 0) >= 20 AS able
+      FROM x LEFT JOIN w USING (id) WHERE own),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY able) AS of FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 5 * of // 100 THEN r END::BIGINT AS rank FROM r
+"""
+
+
+def _edit(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """The path of a state after one more edit."""
+    text = f"{state}.r" if line is None else f"{state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {text}}}"
+
+
+def _least(*paths: str) -> str:
+    return f"list_sort([{', '.join(paths)}])[1]"
+
+
+def _kept(to: str, since: str, initial: str, role: str) -> str:
+    """Paths into a state: its own with the row deleted, those of other states with it rerolled or kept; paths that are not open cost a billion more."""
+    shut = "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE cut_off END"
+    other = f"CASE WHEN left(role, 1) <> '{initial}' THEN 1000000000 ELSE {shut} END"
+    moves = [_edit(to, "3", "D")]
+    for x in since:
+        moves += [_edit(x, f"2 + {shut}", "R", f"'{role}:' || text")] * bool(role) + [_edit(x, other, "K", "role || ':' || text")]
+    return _least(*moves)
+
+
+_BIG = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS f
+      FROM (SELECT *, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS x FROM conversations), k),
+e AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM d, range(2) t(i) WHERE f <> 0 AND (i = 0 OR f = 3)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS t FROM e),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos,
+             CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM g),
+n AS (SELECT *, (fault = 'truncated')::BIGINT AS cut_off, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM h),
+m AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY conv_id),
+v AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS o, {_BIG} AS s, {{'c': 2::BIGINT, 'a': 'I', 'r': 'user:'}} AS u, {{'c': 4::BIGINT, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS a FROM m
+  UNION ALL
+  SELECT conv_id, pos, o, s, u, {_least("a", _edit("u", "2", "I", "'assistant:'"))} FROM (
+    SELECT conv_id, pos, o, s, {_least("u", *(_edit(x, "2", "I", "'user:'") for x in "osa"))} AS u, a FROM (
+      SELECT n.conv_id, n.pos, {_edit("o", "3", "D")} AS o, {_kept("s", "o", "s", "")} AS s, {_kept("u", "osa", "u", "user")} AS u, {_kept("a", "u", "a", "assistant")} AS a
+      FROM v JOIN n ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND n.pos = v.pos + 1))
+),
+w AS (SELECT m.*, {_least("o", "a")} AS best FROM v JOIN m ON v.conv_id IS NOT DISTINCT FROM m.conv_id AND v.pos = m.rows)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_substring_dedup": OP9, "op12_conversation_repair": OP12, "op13_importance_resampling": OP13}
