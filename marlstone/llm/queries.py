@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, fingerprints, importance, langid, line_dedup, mixing, near_duplicates, pieces, pii, quality, substring_dedup, url_lists
+from . import context_mixing, conversation_repair, fingerprints, importance, langid, line_dedup, mixing, near_duplicates, pieces, pii, quality, substring_dedup, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of each document, see ``score``, learned from those not held out: a row a document; null and empty texts are their end alone."""
+    return context_mixing.score(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of each damaged conversation, see ``repair``: a row a conversation, also those of which nothing is left."""
     turns = _table(spark, sf_dir, "conversations")
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_context_mixing": op11_context_mixing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }

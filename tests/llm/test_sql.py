@@ -8,7 +8,7 @@ import pytest
 from marlstone.llm.queries import QUERIES
 from marlstone.llm.sql import ORACLE
 from tests.compare import same
-from tests.llm import test_fingerprints, test_pii, test_quality
+from tests.llm import test_context_mixing, test_fingerprints, test_pii, test_quality
 from tests.llm.test_pieces import E
 
 #: Columns that the task names for the queries that SQL cannot express; more may follow.
@@ -18,6 +18,7 @@ COLUMNS = {
     "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op8_language_id": "doc_id held_out lang_pred score",
     "op10_sentencepiece": "doc_id n_tokens ids_sha256 round_trip",
+    "op11_context_mixing": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
 
@@ -78,3 +79,12 @@ def test_op10(results, texts):
     for i, r in results["op10_sentencepiece"].items():
         ids = E.ids(texts[i]["text"])
         assert r["n_tokens"] == len(ids) and r["round_trip"] and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+
+
+def test_op11(results, texts):
+    want = test_context_mixing.base([(i, r["text"]) for i, r in texts.items()])
+    for i, (tokens, known, n, score) in zip(texts, want, strict=True):
+        r = results["op11_context_mixing"][i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n) and abs(r["base_score"] - score) < 1e-6 * max(1, abs(score)) and r["score"] < 0
+    held = [results["op11_context_mixing"][i] for i in texts if results["op11_context_mixing"][i]["held_out"]]
+    assert sum(-r["score"] for r in held) * np.log2(10) < 3 * sum(r["n_bytes"] for r in held)
