@@ -1,5 +1,5 @@
 """Tables, files and streams."""
 
-from .tables import csv_round_trip, json_round_trip, partitioned_sink, scratch, table
+from .tables import csv_round_trip, json_round_trip, kept, partitioned_sink, scratch, table
 
-__all__ = ["csv_round_trip", "json_round_trip", "partitioned_sink", "scratch", "table"]
+__all__ = ["csv_round_trip", "json_round_trip", "kept", "partitioned_sink", "scratch", "table"]

@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once however often it is used, and not lost with an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv_round_trip(df: DataFrame) -> DataFrame:
     """``df`` written as CSV with a header and read with its schema."""
     path = scratch(df.sparkSession, "csv")
