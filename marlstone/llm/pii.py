@@ -11,7 +11,7 @@ Kinds, in the order of results:
   dropped and not tried again from a later start.
 * ``login``: the user part of a URL's authority, as in ``ssh://name:word@host``.
 * ``account``: the value after a cue such as ``iban`` or ``account no``, with a
-  separator or right after the cue and words such as ``number is``; IBANs must
+  separator or right after the cue and any number of words such as ``number is``; IBANs must
   pass their check digits, other values need five digits.
 * ``secret``: the value after a cue such as ``token =`` or ``api_key:``, of eight
   characters or more with a digit and a letter.
@@ -184,18 +184,17 @@ def _number(t: str, start: int) -> int:
 
 def _account(t: str, cue_end: int) -> tuple[int, int] | None:
     """The account after a cue that ends at cue_end: after a separator, or right after the cue and its link words."""
-    n, i, words = len(t), cue_end, []
+    n, i, word = len(t), cue_end, ""
     while True:
-        short = words or t[max(0, cue_end - 4) : cue_end].lower() == "acct"  # a dot after it ends no sentence
+        short = word or t[max(0, cue_end - 4) : cue_end].lower() == "acct"  # a dot after it ends no sentence
         while i < n and (t[i] in " \t\n'\"()-" or (short and t[i] == ".")):
             i += 1
         j = i
         while j < n and j < i + 8 and t[j] in LETTERS:
             j += 1
-        if i == cue_end or len(words) == 3 or t[i:j].lower() not in LINK_WORDS or (j < n and t[j] in DIGITS):
+        if i == cue_end or t[i:j].lower() not in LINK_WORDS or (j < n and t[j] in DIGITS):
             break
-        words.append(t[i:j].lower())
-        i = j
+        word, i = t[i:j], j
     if span := _cued(t, cue_end):
         end = _number(t, span[0])
         return (span[0], end) if end else None

@@ -57,6 +57,8 @@ def test_accounts_without_separators():
         ("iban\nDE89370400440532013000.", "DE89370400440532013000"),
         ("IBAN number is GB82 WEST 1234 5698 7654 32,", "GB82 WEST 1234 5698 7654 32"),
         ("account no 12345678", "12345678"),
+        ("account number id no is 12345678", "12345678"),
+        ("account " + "no. " * 50 + "is 12345678", "12345678"),
         ("Account No. 12345678.", "12345678"),
         ("SSN 123-45-6789", "123-45-6789"),
         ("SSN 123 45 6789 or", "123 45 6789"),
