@@ -172,11 +172,13 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, in_all: int = 80_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, in_all: int = 80_000, most_langs: int = 1000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded training set: ``per_lang`` documents of each language, ``per_doc`` windows of each.
 
-    With many languages each has fewer, so that there are ``in_all`` documents or one a
-    language; every language that is labelled is learned.
+    With many languages each has fewer, so that there are ``in_all`` documents in all.
+    The ``most_langs`` labels of the most different texts are learned (of equal ones the
+    first by name), so that the network and what the driver holds are bounded; texts of
+    other labels are predicted as one of these.
 
     Different texts are chosen by least hash, among those whose hash is so low that
     about four times ``per_lang`` different ones are left, and the windows lie evenly over a
@@ -185,7 +187,7 @@ def sample_windows(labelled: DataFrame, per_lang: int = 400, per_doc: int = 6, i
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("lang", "text").where(_has_letter())
     counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
-    top = {r["lang"]: r["texts"] for r in counts.collect()}
+    top = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("texts"), "lang").limit(most_langs).collect()}
     per_lang = max(1, min(per_lang, in_all // max(len(top), 1)))
     langs = sorted(top)
     size = F.octet_length("text")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import langid
-from tests.llm.frames import documents, empty, frame
+from tests.llm.frames import documents, empty, frame, prose
 
 
 def test_gradients_are_those_of_the_loss():
@@ -124,3 +124,14 @@ def test_predictions_against_the_definition(spark, sf_dir):
         want.append((str(i), net.langs[int(p.argmax())], round(float(p.max()), 3)))
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 0.002
+
+
+def test_labels_are_bounded(spark):
+    """Ten thousand labels: those of the most different texts are learned, and every text gets one of them."""
+    rows = [(k, f"{prose(k, 30)} {k}", f"x{k:05d}") for k in range(10_000)] + [(20_000 + k, prose(k % 40, 60) + str(k), "ab" if k % 2 else "cd") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, _, langs = langid.sample_windows(df.select("text", "lang"), per_lang=20, most_langs=5)
+    assert langs == ["ab", "cd", "x00000", "x00001", "x00002"]
+    net = langid.fit(df.select("text", "lang"), per_lang=20, most_langs=5)
+    got = langid.predict(df.where("doc_id % 997 = 0 OR doc_id >= 20000"), net).collect()
+    assert {r["lang_pred"] for r in got} <= set(langs)
