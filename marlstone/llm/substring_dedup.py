@@ -1,6 +1,6 @@
 """Substring dedup on fixed-block anchors.
 
-Documents are dealt into parts by id.  Every part indexes the non-overlapping
+Documents are dealt into parts by id and text.  Every part indexes the non-overlapping
 blocks of its documents, aligned to multiples of ``width // 2`` words, and probes
 the index of all parts with every rolling window of that size.  Any repeat of
 ``width`` words holds an aligned block of its earlier place whole, so each repeat
@@ -28,7 +28,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
 from .packing import bits, pack, unpack
 from .wordtable import IS_SPACE, chunks, hashed, runs
 
@@ -38,9 +37,6 @@ PART_MB = 8
 PARTS_A_BUCKET = 4
 #: A sender has up to so many receivers, as a power of two.
 FAN_BITS = 11
-#: Ids, and null, whose texts have more bytes than this are dealt by text.
-HOT_BYTES = 16 << 20
-BROADCAST_IDS = 100_000
 #: Bytes of a chunk of the result.
 RESULT_BYTES = 256 << 20
 
@@ -302,18 +298,11 @@ def exchange(sent: DataFrame, kind: int, parts: int, level: Level) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, part_mb: float) -> tuple[DataFrame, int]:
-    """``doc_id, text, tie, part``, and the number of parts: by id; of an id with too many texts by text, ordered by a hash of it, ``tie``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = cut(docs.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")))
-    crowd = (F.col("n") > 1) & (F.col("bytes") > HOT_BYTES)
-    total, few = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.when(crowd, 1))).first()
+    """``doc_id, text, tie, part``, and the number of parts: dealt by id and ``tie``, a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / (part_mb * 1e6)))
-    hot = sizes.where(crowd).select(F.col("doc_id").alias("crowd"), F.lit(True).alias("is_hot"))
-    tie = F.lit(0).cast("long")
-    if few:
-        docs = docs.join(F.broadcast(hot) if few <= BROADCAST_IDS else hot, F.col("doc_id").eqNullSafe(F.col("crowd")), "left")
-        tie = F.when(F.col("is_hot"), F.xxhash64("text")).otherwise(tie)
-    return docs.select("doc_id", "text", tie.alias("tie")).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("long")), parts
+    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("long")), parts
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, part_mb: float = PART_MB) -> DataFrame:
@@ -325,9 +314,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, part_mb: float = PART_MB) -> Data
     by single spaces, ``repeats`` are the maximal removed ranges of words.
 
     Reads ``doc_id`` and ``text``; other columns are ignored.  A null text has no
-    words, a null id comes after all others, and rows of one id are ordered by
-    text, or by a hash of it if there are over ``HOT_BYTES`` of them, so of a
-    repeated row all copies but one are later ones.  An empty table gives an empty one.
+    words, a null id comes after all others, and rows of one id are ordered by a hash
+    of the text, then by text, so of a repeated row all copies but one are later ones.  An empty table gives an empty one.
     """
     dealt, parts = _dealt(docs, part_mb)
     bucket_bits = min(32, max(0, -(-parts // PARTS_A_BUCKET) - 1).bit_length())
