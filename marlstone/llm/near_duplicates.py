@@ -50,6 +50,8 @@ class Settings:
 BUCKET_BLOCK = 20_000
 VERIFY_BLOCK, LEAST_BLOCK = 2048, 64
 VERIFY_BYTES = 32 << 20
+#: Texts, and bytes of shingle sets, of small groups that share a task.
+SLOT_ROWS, SLOT_BYTES = 20_000, 64 << 20
 BROADCAST_ROWS = 250_000
 FEW = 8
 SEEN = 100_000
@@ -323,6 +325,11 @@ def _block_tasks(rows: DataFrame, key: str, n: str, size: int | Column, tasks: i
     return r.withColumn("slot", slot).drop("other")
 
 
+def slots(amount: int | None, per_slot: int, least: int) -> int:
+    """How many slots small groups share, so that one holds about ``per_slot``, however large the input is."""
+    return max(least, -(-(amount or 0) // per_slot))
+
+
 def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Nodes of texts with links, ``u1, u2, n_links, r1, r2`` (root of the class), and ``docs`` ids with ``u1, u2``."""
     s = settings
@@ -331,9 +338,10 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_identity(F.col("text")))
     signed = cut(texts.select("u1", "u2", "text").mapInArrow(lambda it: _sign(it, s), "u1 long, u2 long, sig binary, bands array<long>, size long").dropDuplicates(["u1", "u2"]))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), signed.rdd.getNumPartitions()) * 2
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), signed.rdd.getNumPartitions()) * 2
     banded = signed.select("u1", "u2", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tasks = slots(shared.agg(F.sum("n")).first()[0], SLOT_ROWS, least)
     met = banded.join(shared, "bucket").join(signed.select("u1", "u2", "sig"), ["u1", "u2"])
     met = _block_tasks(met, "bucket", "n", BUCKET_BLOCK, tasks).select("slot", F.col("task").alias("bucket"), "u1", "sig")
     edges = met.groupBy("slot").applyInArrow(lambda t: _prune(t, s, steps), "a long, b long")
@@ -344,7 +352,8 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     ready = held.mapInArrow(lambda it: _shingled(it, s), "u1 long, u2 long, label long, sig binary, shingles binary")
     each = labels.join(signed.select(F.col("u1").alias("node"), "size"), "node")
     block = F.floor(VERIFY_BYTES / (8 * F.avg("size")))
-    sizes = cut(each.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(VERIFY_BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, VERIFY_BLOCK)), block)).alias("most")))
+    sizes = cut(each.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.least(F.lit(VERIFY_BLOCK), F.greatest(F.lit(min(LEAST_BLOCK, VERIFY_BLOCK)), block)).alias("most")))
+    tasks = slots(sizes.agg(F.sum(8 * F.col("total"))).first()[0], SLOT_BYTES, least)
     blocks = _block_tasks(ready.join(F.broadcast(sizes) if few else sizes, "label"), "label", "n", F.col("most"), tasks).select("slot", "task", "label", "block", "left", "right", "u1", "u2", "sig", "shingles")
     found = cut(blocks.groupBy("slot").applyInArrow(lambda t: _verify(t, s, steps), LINKS))
     counted = found.groupBy("u1", "u2").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("r1", "r2")).alias("r"), F.first("label").alias("label"))

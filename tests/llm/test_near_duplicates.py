@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import near_duplicates as nd
 from tests.llm.frames import documents, empty, frame, prose, words
@@ -100,3 +101,16 @@ def test_settings_may_differ(spark):
     rows = made_rows()
     got = sorted(str((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"])) for r in nd.classes(frame(spark, rows), nd.Settings(threshold=0.9)).collect())
     assert got == expected(rows, 0.9)
+
+
+def test_slots_follow_the_data(spark, monkeypatch):
+    """Three sizes: the texts of a slot stay about as many, their number grows."""
+    most = []
+    for n in (200, 800, 3200):
+        rows = spark.range(n).select(F.col("id").alias("u1"), (F.col("id") % (n // 2)).alias("bucket"), F.lit(2).cast("long").alias("n"))
+        tasks = near_duplicates.slots(n, 50, 4)
+        dealt = near_duplicates._block_tasks(rows, "bucket", "n", near_duplicates.BUCKET_BLOCK, tasks)
+        most.append(dealt.groupBy("slot").count().agg({"count": "max"}).first()[0])
+        assert tasks == n // 50
+    assert max(most) <= 120
+    assert near_duplicates.slots(None, 50, 4) == 4 == near_duplicates.slots(10, 50, 4)
