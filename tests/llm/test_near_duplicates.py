@@ -108,9 +108,9 @@ def test_slots_follow_the_data(spark, monkeypatch):
     most = []
     for n in (200, 800, 3200):
         rows = spark.range(n).select(F.col("id").alias("u1"), (F.col("id") % (n // 2)).alias("bucket"), F.lit(2).cast("long").alias("n"))
-        tasks = near_duplicates.slots(n, 50, 4)
-        dealt = near_duplicates._block_tasks(rows, "bucket", "n", near_duplicates.BUCKET_BLOCK, tasks)
+        tasks = nd.slots(n, 50, 4)
+        dealt = nd._block_tasks(rows, "bucket", "n", nd.BUCKET_BLOCK, tasks)
         most.append(dealt.groupBy("slot").count().agg({"count": "max"}).first()[0])
         assert tasks == n // 50
     assert max(most) <= 120
-    assert near_duplicates.slots(None, 50, 4) == 4 == near_duplicates.slots(10, 50, 4)
+    assert nd.slots(None, 50, 4) == 4 == nd.slots(10, 50, 4)
