@@ -124,6 +124,29 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+# What SQL can say of operators whose whole result it cannot: the same rows with fewer columns.
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and edited texts of ``op1_fingerprints``."""
+    return op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules of ``op4_quality_rules``."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of ``op5_pii``."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base scores of ``op11_context_mixing``."""
+    return op11_context_mixing(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -138,4 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_context_mixing": op11_context_mixing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
+    "fingerprint_edits": fingerprint_edits,
+    "quality_counts": quality_counts,
+    "pii_base": pii_base,
+    "unigram_scores": unigram_scores,
 }

@@ -187,4 +187,51 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id
 """
 
-ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_substring_dedup": OP9, "op12_conversation_repair": OP12, "op13_importance_resampling": OP13}
+EDITS = """
+WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, (length(t) - length(t) // 3)::BIGINT) || substr(next, 1, (length(t) // 3)::BIGINT)) AS edited_sha256 FROM n
+"""
+
+COUNTS = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, sum(n - 1)::BIGINT AS n FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+x AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x
+"""
+
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 999) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "len(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(digits, lambda c, k: CASE WHEN k % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) BETWEEN 9 AND 15"),
+}
+
+
+def _spans(k: int, kind: str) -> str:
+    """Matches of a pattern with their places: what lies between matches tells how far in they begin."""
+    pattern, fine = _KINDS[kind]
+    return rf"""SELECT doc_id, {k} AS k, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+      SELECT doc_id, m[i] AS m, list_reverse(regexp_extract_all(m[i], '[0-9]')) AS digits, (list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) - length(m[i]))::BIGINT AS start
+      FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents WHERE text IS NOT NULL))) WHERE {fine}"""
+
+
+PII_BASE = rf"""
+WITH s AS ({" UNION ALL ".join(_spans(k, kind) for k, kind in enumerate(_KINDS))}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in _KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+UNIGRAMS = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce({_CRC} % 7 = 2, FALSE) AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS x FROM documents), k),
+t AS (SELECT doc_id, held_out, token, count(*) AS n FROM (SELECT doc_id, held_out, unnest(list_append(w, '')) AS token FROM d) GROUP BY ALL),
+c AS (SELECT token, sum(n)::BIGINT AS c FROM t WHERE NOT held_out GROUP BY token),
+z AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, sum(t.n)::BIGINT AS n_tokens, coalesce(sum(t.n) FILTER (c > 0), 0)::BIGINT AS n_known, any_value(z.n) AS train_tokens, round(sum(t.n * log10((coalesce(c, 0) + 1)::DOUBLE / (z.n + z.v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (token), z GROUP BY doc_id, held_out
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filters": OP2, "op3_near_duplicates": OP3, "op6_mixing": OP6, "op7_line_dedup": OP7, "op9_substring_dedup": OP9, "op12_conversation_repair": OP12, "op13_importance_resampling": OP13, "fingerprint_edits": EDITS, "quality_counts": COUNTS, "pii_base": PII_BASE, "unigram_scores": UNIGRAMS}
