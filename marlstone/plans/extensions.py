@@ -41,7 +41,7 @@ def u1_table(spark: SparkSession, d: str) -> DataFrame:
     @F.udtf(returnType="part string")
     class Parts:
         def eval(self, text: str):
-            for p in text.split("c"):
+            for p in () if text is None else text.split("c"):
                 yield (p,)
 
     return table(spark, d, "documents").select("doc_id", "source").lateralJoin(Parts(F.col("source").outer())).select("doc_id", "part")

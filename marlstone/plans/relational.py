@@ -431,9 +431,20 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c3_case_distance_documents")
 def c3_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the texts of all documents; no SQL, as engines differ beyond ASCII."""
-    head = F.substring("text", 1, 40)
-    return table(spark, d, "documents").select("doc_id", F.upper("text").alias("up"), F.levenshtein(head, F.upper(head)).cast("long").alias("distance"))
+    """The same over the whole texts of all documents: distances up to 64, -1 beyond, so the cost is that of a text's length and not of its square; no SQL, as engines differ beyond ASCII."""
+    distance = F.levenshtein("text", F.upper("text"), 64)
+    return table(spark, d, "documents").select("doc_id", F.upper("text").alias("up"), distance.cast("long").alias("distance"))
+
+
+@query(
+    "c3_line_distance",
+    """SELECT doc_id, count(*) AS n_lines, sum(levenshtein(line, upper(line)))::BIGINT AS distance FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE length(line) = strlen(line) GROUP BY doc_id""",
+)
+def c3_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Whole distances of all lines that are ASCII, by document."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") == F.octet_length("line"))
+    return lines.groupBy("doc_id").agg(_count("n_lines"), F.sum(F.levenshtein("line", F.upper("line"))).cast("long").alias("distance"))
 
 
 @query("c4_regex_url", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch, table
 from ..streaming.drain import drain, events, file_stream
+from ..streaming.idle import bursts
+from ..streaming.late import Split
 from ..streaming.stateful import milestones, rocks_db
 from .registry import query
 
@@ -96,3 +98,43 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
 def t7_static(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     return drain(events(spark, d).join(customers, F.col("user_id") == F.col("c_custkey"), "left").select("event_id", "user_id", "c_mktsegment"))
+
+
+@query(
+    "t6_idle_timers",
+    """WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events))
+    SELECT user_id, min(ts) AS began, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, s
+    HAVING max(ts) + INTERVAL 2 HOUR < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+)
+def t6_idle(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of a user's events, two hours apart, that timers have closed; the events come in three runs, each with a third of the days."""
+    e = table(spark, d, "events")
+    into, out, state = scratch(spark, "idle-in"), scratch(spark, "idle-out"), scratch(spark, "idle-state")
+    with rocks_db(spark):
+        for part in range(3):
+            e.where(F.floor((F.dayofmonth("ts") - 1) / 11) == part).select("user_id", "ts").write.mode("append").parquet(into)
+            s = spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(into).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+            result = drain(bursts(s, 2 * 3_600_000), checkpoint=state, out=out)
+    return result.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@query(
+    "t8_late_side_output",
+    """WITH e AS (SELECT *, event_id % 10 = 0 AS second FROM events), line AS (SELECT max(ts) FILTER (NOT second) - INTERVAL 1 DAY AS line FROM e)
+    SELECT event_id, user_id, ts, second AND ts < line AS late FROM e, line
+    UNION ALL SELECT event_id, user_id, ts, TRUE FROM e, line WHERE event_id % 10 = 1 AND ts < line""",
+)
+def t8(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs: every tenth event comes in the second, with every eleventh of the first again; all rows are in time, repeated or late.
+
+    Repeats in time are dropped, late rows, repeats among them, are kept beside.
+    """
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    into, split = scratch(spark, "split-in"), Split.new(spark, "event_id", "ts", 86_400)
+    for rows in (e.where("event_id % 10 <> 0"), e.where("event_id % 10 IN (0, 1)")):
+        rows.write.mode("append").parquet(into)
+        s = spark.readStream.schema(e.schema).parquet(into).withColumn("ts", F.col("ts").cast("timestamp"))
+        once, late = split.run(s)
+    both = once.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -69,6 +69,18 @@ def test_entry_without_optional_parts(monkeypatch, gone):
     assert "pipeline" not in found and (set(found) > set(QUERIES)) == there
 
 
+def test_entry_with_a_library_missing(monkeypatch):
+    """A package that is there but cannot be imported is left out with a warning."""
+    import __spark_entry__ as e
+
+    def fails(name):
+        raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+
+    monkeypatch.setattr(e.importlib, "import_module", fails)
+    with pytest.warns(UserWarning, match="ahocorasick"):
+        assert set(e.queries()) == set(QUERIES)
+
+
 def test_case_and_distance_beyond_ascii(spark, tmp_path):
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -78,7 +90,8 @@ def test_case_and_distance_beyond_ascii(spark, tmp_path):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
         return row[-1]
 
-    texts = ["straße", "ÀÉ naïve ciónes", "plain ascii", "日本語 a", "", None]
+    texts = ["straße", "ÀÉ naïve ciónes", "plain ascii", "日本語 a", "", None, "X" * 300 + "é" * 64, "x" * 65, "Y" * 500]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["up"], r["distance"]) for r in QUERIES["c3_case_distance_documents"](spark, str(tmp_path)).collect()}
-    assert got == {k: (None, None) if t is None else (t.upper(), distance(t[:40], t[:40].upper())) for k, t in enumerate(texts)}
+    near = lambda n: n if n <= 64 else -1
+    assert got == {k: (None, None) if t is None else (t.upper(), near(distance(t, t.upper()))) for k, t in enumerate(texts)}
