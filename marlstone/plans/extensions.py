@@ -64,7 +64,7 @@ def u2(spark: SparkSession, d: str) -> DataFrame:
     Texts without words have no pairs.
     """
     docs = table(spark, d, "documents").where("length(trim(text)) > 0").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    texts = table(spark, d, "documents").join(docs.select("doc_id"), "doc_id")
+    texts = table(spark, d, "documents").where("text IS NOT NULL").join(docs.select("doc_id"), "doc_id")
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(texts.select("doc_id", "text")).where(F.size("words") > 0)
     sets = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 18, binary=True).transform(words).select("doc_id", "features")
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=20, seed=42).fit(sets)

@@ -51,8 +51,10 @@ class Group(InputPartition):
     group: int
 
 
-def _rows(part: Group, schema: pa.Schema, filters: list[Filter]) -> Iterator[pa.RecordBatch]:
-    """The rows of a group in batches, the columns of the schema only, without rows that a filter rules out."""
+def _rows(part: Group | None, schema: pa.Schema, filters: list[Filter]) -> Iterator[pa.RecordBatch]:
+    """The rows of a group in batches, the columns of the schema only, without rows that a filter rules out; where there is no group at all Spark asks for none."""
+    if part is None:
+        return
     for batch in _parquet(part.path).iter_batches(row_groups=[part.group], columns=schema.names, batch_size=10_000):
         table = pa.Table.from_batches([batch])
         for f in filters:

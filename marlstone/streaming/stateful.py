@@ -33,7 +33,8 @@ class Milestones(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n = self.count.get()[0] if self.count.exists() else 0
-        for _, event_id in sorted((r["ts"], r["event_id"]) for r in rows):
+        none_first = lambda x: (x is not None, x)
+        for _, event_id in sorted(((r["ts"], r["event_id"]) for r in rows), key=lambda x: [none_first(c) for c in x]):
             n += 1
             if n % self.every == 0:
                 yield Row(user_id=key[0], event_id=event_id, n=n)
@@ -46,8 +47,8 @@ class Milestones(StatefulProcessor):
 def milestones(events: DataFrame, every: int) -> DataFrame:
     """Rows at which a user's running event count reaches a multiple of ``every``: ``user_id, event_id, n``.
 
-    Within a batch a user's events are taken by time, then id; only these two are
-    held.  Run it within ``rocks_db``.
+    Within a batch a user's events are taken by time, then id, nulls first; only these
+    two are held.  Run it within ``rocks_db``.
     """
     slim = events.select("user_id", "event_id", "ts").groupBy("user_id")
     return slim.transformWithState(Milestones(every), "user_id long, event_id long, n long", "append", "none")
