@@ -32,7 +32,7 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: ``term, doc_id, block, impact`` in ranges of (term, document); terms: ``term, idf, most``; bounds: ``term, block, most``."""
+    """postings: ``term, doc_id, block, impact``, spread by (document, term) and sorted in each file; terms: ``term, idf, most``; bounds: ``term, block, most``."""
 
     postings: DataFrame
     terms: DataFrame
@@ -41,7 +41,7 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str) -> TextIndex:
-        """Index all rows; ids must be distinct and not null.  A term that every document holds is spread over as many ranges as it needs."""
+        """Index all rows; ids must be distinct and not null.  A term that every document holds lies in all files, none of them holds it whole."""
         spark = docs.sparkSession
         words = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("w"))
         n, mean = words.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("w")), F.lit(0.0))).first()
@@ -50,7 +50,7 @@ class TextIndex:
         impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * long)
         block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // BLOCK))))
         path = scratch(spark, "text-index")
-        counted.select("term", "doc_id", block.alias("block"), impact.alias("impact")).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        counted.select("term", "doc_id", block.alias("block"), impact.alias("impact")).sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
         postings.groupBy("term", "block").agg(F.max("impact").alias("most"), F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/bounds")
         bounds = spark.read.parquet(f"{path}/bounds")
