@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marlstone.plans.catalog import QUERIES
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Nulls here are no values of the type: keys of the tables, by which some queries cut, stay.
 ROWS = 60
 
 
