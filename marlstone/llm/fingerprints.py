@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .cluster import cut
 
-#: Bits at most of the table of flags that tells which texts are read again; 16 MB when broadcast, whatever the input's size.
+#: Bits at most of the table of flags that tells which texts are read again, 16 for each key; 16 MB when broadcast. More keys are joined.
 MOST_BITS = 1 << 27
-#: Cells at most, and ids sampled for each to place them; what a cell holds beyond memory is sorted on disk.
-MOST_CELLS, SAMPLED = 4096, 64
+#: Cells by bounds in an expression at most, parts of each at most by bounds in a broadcast table (8 MB), and ids sampled for each cell or part.
+MOST_CELLS, MOST_PARTS, SAMPLED = 4096, 256, 64
 
 
 def _static(cls: str, method: str, *args: Column) -> Column:
@@ -94,11 +94,15 @@ def _shared(buckets: DataFrame) -> DataFrame:
 def _flagged(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """Rows whose key (long) is among ``keys`` (column ``key``), and a few others.
 
-    Hashes of the keys set bits in a table of 16 bits a key, at most ``MOST_BITS``,
-    which is broadcast in rows of 4 KB; the more keys beyond, the more other rows.
+    Hashes of the keys set bits in a table of 16 to 32 bits a key, which is broadcast in
+    rows of 4 KB.  Where that would be more than ``MOST_BITS``, rows and keys meet in a
+    semi-join instead, which shuffles each row once, and lets no others through; a key
+    of very many rows is split by adaptive execution, as keys are distinct.
     """
     n = keys.count()
-    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    bits = 1 << max(15, (16 * n).bit_length())
+    if bits > MOST_BITS:
+        return rows.withColumn("__fp_key", key).join(keys.select(F.col("key").alias("__fp_key")), "__fp_key", "left_semi").drop("__fp_key")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     table = keys.select(slot(F.col("key")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__fp_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__fp_bits"))
     asked = rows.withColumn("__fp_slot", slot(key)).withColumn("__fp_row", F.bitmap_bucket_number("__fp_slot"))
@@ -135,23 +139,34 @@ def _at(value: Column, bounds: list[int]) -> Column:
     return F.least(found, F.lit(len(bounds)))
 
 
+def _parts(values: DataFrame, bounds: list[int], cells: int, rows: int) -> DataFrame | None:
+    """Bounds ``__fp_inner`` that part each coarse cell ``__fp_coarse`` further, or None if the coarse cells are enough; ``MOST_CELLS`` rows at most."""
+    parts = min(MOST_PARTS, -(-cells // MOST_CELLS))
+    if parts < 2 or not bounds:
+        return None
+    some = values.sample(min(1.0, SAMPLED * cells / max(rows, 1)), 11).select(_at(F.col("v"), bounds).alias("__fp_coarse"), "v")
+    return cut(some.groupBy("__fp_coarse").agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10 * parts).alias("__fp_inner")))
+
+
 def with_next(docs: DataFrame, payload: list[str], id_col: str = "doc_id", per_cell: int = 1024, derive=lambda rows: rows) -> DataFrame:
     """``id_col`` and payload of every row, and ``next_<name>`` of the next row in descending id.
 
     After the last row comes the first.  Rows of one id follow each other by
     ascending payload, null ids come last; the first payload column is a string.
-    Ids are dealt into cells of about ``per_cell`` rows, ``MOST_CELLS`` at most, by
-    quantiles of a sample, so that their distribution does not matter; an id, or
-    null, that fills several cells is dealt further by the first bytes of the
-    payload.  Each cell is ordered by itself, and only the first row of each
+    Ids are dealt into cells of about ``per_cell`` rows by quantiles of a sample, so
+    that their distribution does not matter.  Beyond ``MOST_CELLS`` each cell is
+    parted by quantiles of its own, into ``MOST_PARTS`` at most, so a million cells
+    in all.  An id, or null, that fills several coarse cells is dealt further by the
+    first bytes of the payload.  Each cell is ordered by itself, and only the first row of each
     crosses to its neighbour: no step orders all rows in one task.  Places depend
     on the order alone, not on the sample.  ``derive`` adds columns that rows carry along; it is
     applied to each row once, and to the first rows of cells.
     """
     n, known = docs.agg(F.count(F.lit(1)), F.count(id_col)).first()
-    cells = int(min(MOST_CELLS, max(1, -(-n // per_cell))))
-    ids = docs.select(F.col(id_col).cast("long").alias("v"))
-    bounds = _bounds(ids.where("v IS NOT NULL"), cells, known)
+    wanted = int(max(1, -(-n // per_cell)))
+    cells = min(MOST_CELLS, wanted)
+    ids = docs.select(F.col(id_col).cast("long").alias("v")).where("v IS NOT NULL")
+    bounds = _bounds(ids, cells, known)
     hot = sorted({a for a, b in zip(bounds[:-1], bounds[1:], strict=True) if a == b})
     crowded = (F.col(id_col).isin(hot) if hot else F.lit(False)) | (F.col(id_col).isNull() if (n - known) * cells > 2 * n else F.lit(False))
     head = F.conv(F.rpad(F.hex(F.substring(F.col(payload[0]).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
@@ -160,9 +175,14 @@ def with_next(docs: DataFrame, payload: list[str], id_col: str = "doc_id", per_c
         inner = _bounds(docs.where(crowded).select(head.alias("v")), cells, n)
         inner = sorted(set(inner))
     part = F.when(crowded, _at(head, inner)).otherwise(-1)
-    cell = F.coalesce(_at(F.col(id_col).cast("long"), bounds), F.lit(-1)) if bounds else F.when(F.col(id_col).isNull(), -1).otherwise(0)
-    cell = F.when(F.col(id_col).isNull(), -1).otherwise(cell).cast("long") * (len(inner) + 2) + (len(inner) - part)
-    rows = docs.select(F.col(id_col), *payload, cell.alias("__fp_cell"))
+    cell = F.when(F.col(id_col).isNull(), -1).otherwise(_at(F.col(id_col).cast("long"), bounds)).cast("long")
+    rows = docs.select(F.col(id_col), *payload, cell.alias("__fp_coarse"))
+    cell = F.col("__fp_coarse")
+    if (finer := _parts(ids, bounds, wanted, known)) is not None:
+        rows = rows.join(F.broadcast(finer), "__fp_coarse", "left")
+        passed = F.size(F.filter(F.coalesce("__fp_inner", F.array().cast("array<long>")), lambda b: b <= F.col(id_col)))
+        cell = cell * MOST_PARTS + passed
+    rows = rows.select(F.col(id_col), *payload, (cell * (len(inner) + 2) + (len(inner) - part)).alias("__fp_cell"))
     order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in payload]]
     inside = W.partitionBy("__fp_cell").orderBy(*order)
     carried = derive(rows)

@@ -94,10 +94,38 @@ def test_cells_follow_the_ids(spark):
     assert max(sizes) <= 300
 
 
+def test_cells_are_parted_beyond_the_coarse_ones(spark, monkeypatch):
+    """The largest cell follows the rows a cell, not the input: three sizes, with nulls, ties and a crowded id."""
+    monkeypatch.setattr(fp, "MOST_CELLS", 8)
+    for n in (400, 1600, 6400):
+        rows = [(i * i, f"text {i * 7919 % 1000}") for i in range(n)] + [(9, "again"), (None, "none"), (None, "nothing")]
+        rows += [(121, f"{i * 31 % 1009:04d} crowded") for i in range(n // 2)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        sizes = []
+        done = fp.with_next(df, ["text"], per_cell=20, derive=lambda r, s=sizes: s.append(r.where("doc_id <> 121").groupBy("__fp_cell").count().agg(F.max("count")).first()[0]) or r)
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+        assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"], r["next_text"])) for r in done.collect())
+        assert max(sizes) <= 100, (n, sizes)
+
+
+def test_edit_likeness_with_joins_for_flags_and_parted_cells(spark, monkeypatch):
+    monkeypatch.setattr(fp, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(fp, "MOST_CELLS", 2)
+    original = fp.with_next
+    monkeypatch.setattr(fp, "with_next", lambda docs, payload, **more: original(docs, payload, per_cell=2, **more))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in fp.edit_likeness(frame(spark)).collect()]
+    assert sorted(got) == expected(documents())
+    monkeypatch.setattr(fp, "_bucket", lambda h1, h2: F.when(h1 == h2, "never").otherwise("same"))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in fp.edit_likeness(frame(spark)).collect()]
+    assert sorted(got) == expected(documents())
+
+
 def test_flags_let_all_members_through(spark, monkeypatch):
     df = spark.range(5000)
     keys = spark.range(0, 5000, 50).withColumnRenamed("id", "key")
     kept = {r["id"] for r in fp._flagged(df, F.col("id"), keys).collect()}
     assert set(range(0, 5000, 50)) <= kept and len(kept) < 1000
-    monkeypatch.setattr(fp, "MOST_BITS", 1 << 15)
-    assert set(range(0, 5000, 50)) <= {r["id"] for r in fp._flagged(df, F.col("id"), keys).collect()}
+    monkeypatch.setattr(fp, "MOST_BITS", 1 << 10)
+    joined = fp._flagged(df, F.col("id"), keys)
+    assert sorted(r["id"] for r in joined.collect()) == list(range(0, 5000, 50)) and joined.columns == df.columns
