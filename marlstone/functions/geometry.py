@@ -11,6 +11,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_bytes(a: Column) -> Column:
+    """Memory of a row with a vector at most, if its numbers have up to eight bytes; a null vector has none."""
+    return F.coalesce(F.size(a), F.lit(0)).cast("long") * 8 + 64
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

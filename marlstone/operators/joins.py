@@ -12,12 +12,28 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def in_blocks(queries: DataFrame, id_col: str, rows: int = 50_000) -> list[DataFrame]:
-    """The queries in blocks of about ``rows`` rows, by hash of the id, each with a broadcast hint; together they are all rows."""
-    blocks = max(1, -(-queries.count() // rows))
+#: Bytes of a block of queries that is broadcast.
+BLOCK_BYTES = 128 << 20
+
+
+def few_copies(queries: DataFrame, k: int) -> DataFrame:
+    """The queries, equal rows ``k`` times at most: more change nothing in the first k results of an id. One shuffle, combined by map tasks."""
+    counted = queries.groupBy(*queries.columns).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("__copies"))
+    return counted.select(*queries.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+
+
+def in_blocks(queries: DataFrame, by: list[str], size: Column, most: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The queries in blocks of about ``most`` bytes, each with a broadcast hint; together they are all rows.
+
+    size: bytes of a row, summed before anything is broadcast.  Rows are dealt by a hash of ``by``; with
+    the id and the vector among them an id of very many different rows is dealt too.  Of rows equal in those there should be
+    few, see ``few_copies``.
+    """
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    blocks = max(1, -(-int(total) // most))
     if blocks == 1:
         return [F.broadcast(queries)]
-    return [F.broadcast(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)) for b in range(blocks)]
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64(*by), F.lit(blocks)) == b)) for b in range(blocks)]
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tie: str, values: dict[str, str]) -> DataFrame:

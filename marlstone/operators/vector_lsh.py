@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot
-from .joins import in_blocks
+from ..functions.geometry import dot, vector_bytes
+from .joins import few_copies, in_blocks
 from .ranking import top_k
 
 
@@ -56,9 +56,10 @@ def lsh_top_k(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     one = base.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
     dimension = one[0] if one else 0
     b = base.select(id_col, vector_col, sketches(F.col(vector_col), dimension, bits, seed).alias("__b"))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__probe"), sketches(F.col(vector_col), dimension, bits, seed).alias("__q"))
+    q = few_copies(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__probe")), k)
+    q = q.withColumn("__q", sketches(F.col("__probe"), dimension, bits, seed))
     most = cut_off(b, q, share, sample)
     near = (F.col(id_col) != F.col("query_id")) & (differing(F.col("__q"), F.col("__b"), bits // 64) <= most)
-    pairs = reduce(DataFrame.unionByName, [b.join(block, near).select("query_id", id_col, "__probe", vector_col) for block in in_blocks(q, "query_id")])
+    pairs = reduce(DataFrame.unionByName, [b.join(block, near).select("query_id", id_col, "__probe", vector_col) for block in in_blocks(q, ["query_id", "__probe"], vector_bytes(F.col("__probe")) + bits // 8)])
     scored = pairs.select("query_id", id_col, dot(F.col("__probe"), F.col(vector_col)).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col(id_col)], k).select("query_id", id_col, "rank", F.round("score", 6).alias("score"))

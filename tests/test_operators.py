@@ -77,7 +77,7 @@ def test_sketches_prune_most_pairs(spark, sf_dir):
     b = e.select("vec_id", vector_lsh.sketches(F.col("embedding"), 64, 512, 42).alias("__b"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), vector_lsh.sketches(F.col("embedding"), 64, 512, 42).alias("__q"))
     most = vector_lsh.cut_off(b, q, 0.15, 1000)
-    pairs = reduce(DataFrame.unionByName, [b.join(block, vector_lsh.differing(F.col("__q"), F.col("__b"), 8) <= most) for block in in_blocks(q, "query_id", rows=3)])
+    pairs = reduce(DataFrame.unionByName, [b.join(block, vector_lsh.differing(F.col("__q"), F.col("__b"), 8) <= most) for block in in_blocks(q, ["query_id"], F.lit(1), 3)])
     scored, everything = pairs.count(), b.count() * q.count()
     assert 0.05 * everything < scored < 0.2 * everything
 
@@ -86,9 +86,43 @@ def test_blocks_hold_all_queries(spark):
     from marlstone.operators.joins import in_blocks
 
     q = spark.range(100)
-    blocks = in_blocks(q, "id", rows=7)
+    blocks = in_blocks(q, ["id"], F.lit(8), 56)
     assert len(blocks) == 15 and sorted(r[0] for b in blocks for r in b.collect()) == list(range(100))
-    assert in_blocks(spark.range(0), "id")[0].collect() == []
+    assert in_blocks(spark.range(0), ["id"], F.lit(8))[0].collect() == []
+
+
+def test_neighbours_of_repeated_queries_in_many_blocks(spark, sf_dir, monkeypatch, tmp_path):
+    """Repeated rows, an id with many vectors, null vectors and blocks of a few rows: the rows are those of all pairs."""
+    import numpy as np
+
+    from marlstone.operators import joins
+    from marlstone.plans import relational
+
+    rng = np.random.default_rng(5)
+    vector = lambda: [float(x) for x in rng.integers(-3, 4, 4)]
+    rows = [(k, vector()) for k in range(120)] + [(50, vector()) for _ in range(60)] + [(100, [1.0, 2.0, 0.0, 1.0])] * 40 + [(7, [1.0, 0.0, 0.0, 0.0])] * 15
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = []
+    for query in {i for i, _ in rows if i % 50 == 0}:
+        pairs = sorted((-float(np.dot(p, v)), i) for j, p in rows if j == query for i, v in rows if i != query)[:10]
+        want += [(query, i, r + 1, -s) for r, (s, i) in enumerate(pairs)]
+    monkeypatch.setattr(joins.in_blocks, "__defaults__", (400,))
+    got = [(r["query_id"], r["vec_id"], r["rank"], r["score"]) for r in relational.k2(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_are_of_bounded_bytes(spark):
+    """An id with a third of all rows, wide vectors: blocks follow bytes, and hold each row once; equal rows stay k times at most."""
+    from marlstone.functions.geometry import vector_bytes
+    from marlstone.operators.joins import few_copies, in_blocks
+
+    q = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("query_id"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("probe"))
+    for most in (20_000, 60_000):
+        blocks = in_blocks(q, ["query_id", "probe"], vector_bytes(F.col("probe")), most)
+        sizes = [b.agg(F.sum(vector_bytes(F.col("probe")))).first()[0] or 0 for b in blocks]
+        assert sum(sizes) == 3000 * 80 and max(sizes) < 1.5 * most
+    copies = few_copies(spark.createDataFrame([(1, [1.0])] * 30 + [(1, [2.0])] * 2 + [(None, None)] * 12, "query_id long, probe array<double>"), 10)
+    assert sorted((r["query_id"] or 0, r["count"]) for r in copies.groupBy("query_id", "probe").count().collect()) == [(0, 10), (1, 2), (1, 10)]
 
 
 def test_vectors_that_do_not_fit(spark):
