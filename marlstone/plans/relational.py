@@ -286,7 +286,9 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a12_arg_max", "SELECT user_id, arg_max(event_id, value) AS event_id, max(value) AS value FROM events GROUP BY user_id")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"), F.max("value").alias("value"))
+    """The event of the greatest value, the least id of equal ones. As in SQL an event without a value or id is never it."""
+    known = F.when(F.col("value").isNotNull() & F.col("event_id").isNotNull(), F.struct("value", -F.col("event_id")))
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", known).alias("event_id"), F.max("value").alias("value"))
 
 
 @query("a13_exact_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")

@@ -29,3 +29,11 @@ def test_polygons_are_tested_in_compiled_code_by_all_tasks(spark, sf_dir, monkey
     compiled = at()
     monkeypatch.setattr(spatial, "FLAT_CORNERS", 8)
     assert compiled and compiled == at()
+
+
+def test_arg_max_passes_over_events_without_value_or_id(spark, duck, tmp_path):
+    rows = [(1, 1, None), (2, 2, 5.0), (3, 2, None), (4, 3, 1.0), (None, 3, 2.0), (5, 4, 7.0), (6, 4, float("nan")), (None, None, 1.0), (7, 5, -1.0), (8, 5, -2.0)]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(path)
+    duck.sql(f"CREATE TEMP VIEW odd AS SELECT * FROM '{path}/*.parquet'")
+    same(QUERIES["a12_arg_max"](spark, str(tmp_path)), duck.sql(ORACLE["a12_arg_max"].replace("FROM events", "FROM odd")))
