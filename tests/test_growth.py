@@ -37,3 +37,16 @@ def test_arg_max_passes_over_events_without_value_or_id(spark, duck, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(path)
     duck.sql(f"CREATE TEMP VIEW odd AS SELECT * FROM '{path}/*.parquet'")
     same(QUERIES["a12_arg_max"](spark, str(tmp_path)), duck.sql(ORACLE["a12_arg_max"].replace("FROM events", "FROM odd")))
+
+
+def test_distances_to_upper_case_are_those_of_levenshtein(spark, sf_dir, tmp_path):
+    r = random.Random(5)
+    docs = [(k, "\n".join("".join(r.choice("abAB aZz.1") for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 6)))) for k in range(200)]
+    docs += [(500, None), (501, ""), (502, "é\nabc"), (503, "ab" * 200_000)]  # the last cost 10 ** 11 steps as a matrix
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["n_lines"], x["distance"]) for x in QUERIES["c3_line_distance"](spark, str(tmp_path)).collect()}
+    assert got.pop(503) == (1, 400_000)
+    lines = df.where("doc_id <> 503").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("length(line) = octet_length(line)")
+    want = lines.groupBy("doc_id").agg(F.count(F.lit(1)), F.sum(F.levenshtein("line", F.upper("line")))).collect()
+    assert got == {x[0]: (x[1], x[2]) for x in want}
