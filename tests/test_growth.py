@@ -50,3 +50,8 @@ def test_distances_to_upper_case_are_those_of_levenshtein(spark, sf_dir, tmp_pat
     lines = df.where("doc_id <> 503").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("length(line) = octet_length(line)")
     want = lines.groupBy("doc_id").agg(F.count(F.lit(1)), F.sum(F.levenshtein("line", F.upper("line")))).collect()
     assert got == {x[0]: (x[1], x[2]) for x in want}
+
+
+def test_a_type_has_one_sketch_and_a_pair_none(spark, sf_dir):
+    text = plan(QUERIES["a3_approx_distinct_error"](spark, sf_dir))
+    assert "approx_count_distinct" in text and not re.search(r"keys=\[event_type#\d+, user_id#\d+L?\], functions=\[[^\]]*approx", text)
