@@ -13,10 +13,15 @@ from .registry import query
 
 
 def _grouped(spark: SparkSession, d: str, rows: int) -> str:
-    """The events in Parquet files of small row groups, in order of id; the given file is one group."""
+    """The events in Parquet files of small row groups, in order of id; the given file is one group.
+
+    A file has 100 groups at most, as whoever reads one of them reads the file's list of all; ranges grow in number with the rows.
+    """
     path = scratch(spark, "row-groups")
-    e = table(spark, d, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
-    e.write.option("parquet.block.row.count.limit", rows).parquet(path)
+    e = table(spark, d, "events")
+    ranges = max(4, -(-e.count() // 1_000_000))
+    e = e.repartitionByRange(ranges, "event_id").sortWithinPartitions("event_id")
+    e.write.option("parquet.block.row.count.limit", rows).option("maxRecordsPerFile", 100 * rows).parquet(path)
     return path
 
 

@@ -45,17 +45,24 @@ def _parquet(path: str) -> pq.ParquetFile:
     return pq.ParquetFile(system.open_input_file(inside))
 
 
+#: Partitions up to which each has one group; beyond, a partition has groups of one file of about so many rows.
+PARTITIONS, ROWS = 64, 50_000
+
+
 @dataclass
 class Group(InputPartition):
+    """A group of a file, and others of it that are read with it."""
+
     path: str
     group: int
+    others: tuple[int, ...] = ()
 
 
 def _rows(part: Group | None, schema: pa.Schema, filters: list[Filter]) -> Iterator[pa.RecordBatch]:
-    """The rows of a group in batches, the columns of the schema only, without rows that a filter rules out; where there is no group at all Spark asks for none."""
+    """The rows of a partition in batches, the columns of the schema only, without rows that a filter rules out; where there is no group at all Spark asks for none."""
     if part is None:
         return
-    for batch in _parquet(part.path).iter_batches(row_groups=[part.group], columns=schema.names, batch_size=10_000):
+    for batch in _parquet(part.path).iter_batches(row_groups=[part.group, *part.others], columns=schema.names, batch_size=10_000):
         table = pa.Table.from_batches([batch])
         for f in filters:
             table = table.filter(_PUSHED[type(f)][0](table[f.attribute[0]], pa.scalar(f.value).cast(table.schema.field(f.attribute[0]).type)))
@@ -77,15 +84,20 @@ class RowGroupReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Group]:
-        """A group each, but for those whose statistics rule out all rows."""
-        out = []
+        """The groups but for those whose statistics rule out all rows: one each, or where they are many several of a file, as a task costs more than a small group."""
+        files, n, rows = [], 0, 0
         for path in _files(self.path):
-            data = _parquet(path).metadata
+            data, there = _parquet(path).metadata, []
             for k in range(data.num_row_groups):
-                columns = {data.row_group(k).column(c).path_in_schema: data.row_group(k).column(c).statistics for c in range(data.num_columns)}
+                group = data.row_group(k)
+                columns = {group.column(c).path_in_schema: group.column(c).statistics for c in range(data.num_columns)} if self.filters else {}
                 if all(self._may_hold(columns.get(f.attribute[0]), f) for f in self.filters):
-                    out.append(Group(path, k))
-        return out
+                    there.append(k)
+                    rows += group.num_rows
+            files.append((path, there))
+            n += len(there)
+        each = max(1, min(n // PARTITIONS, ROWS * n // max(rows, 1)))
+        return [Group(path, there[i], tuple(there[i + 1 : i + each])) for path, there in files for i in range(0, len(there), each)]
 
     @staticmethod
     def _may_hold(statistics, f: Filter) -> bool:
@@ -127,7 +139,7 @@ class RowGroupStreamReader(DataSourceStreamReader):
 
 
 class RowGroups(DataSource):
-    """``spark.read.format("row_groups").load(path)``, or ``readStream``: a partition is a row group."""
+    """``spark.read.format("row_groups").load(path)``, or ``readStream``: a partition is a row group, of a batch over many several."""
 
     @classmethod
     def name(cls) -> str:

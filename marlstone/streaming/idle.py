@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -11,12 +12,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 BURST = "user_id long, began timestamp, ended timestamp, n long"
 
 
+#: Times that are sorted and merged with the open bursts at once.
+CHUNK = 10_000
+
+
+def merged(bursts: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Bursts in order, those nearer than the gap joined: one sort and one sweep."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(bursts):
+        if out and first - out[-1][1] < gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
 class Bursts(StatefulProcessor):
     """Open bursts of a user as a list of (first, last, events), in microseconds.
 
     A row joins the bursts that it lies nearer to than the gap, so rows may come in any
-    order and are taken one by one; a timer for each burst, at its end and the gap,
-    closes it.  The list holds no more bursts than fit between the watermark and the
+    order; some are sorted at a time and swept together with the bursts.  A user has one timer, for the burst that
+    closes first; when it fires all that the watermark has closed leave together, and the next is set.
+    The list holds no more bursts than fit between the watermark and the
     latest event, whatever the number of rows.
     """
 
@@ -33,26 +50,21 @@ class Bursts(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         bursts = [tuple(b) for b in self.bursts.get()]
-        timers = {self._closes(b[1]) for b in bursts}
-        gap = self.gap_ms * 1000
-        for row in rows:
-            new, apart = (row["us"], row["us"], 1), []
-            for b in bursts:
-                if b[0] - new[1] < gap and new[0] - b[1] < gap:
-                    new = (min(b[0], new[0]), max(b[1], new[1]), b[2] + new[2])
-                else:
-                    apart.append(b)
-            bursts = [*apart, new]
-        wanted = {self._closes(b[1]) for b in bursts}
-        for at in timers - wanted:
-            self.handle.deleteTimer(at)
-        for at in wanted - timers:
-            self.handle.registerTimer(at)
-        self.bursts.put(sorted(bursts))
+        timer = self._closes(bursts[0][1]) if bursts else None
+        while chunk := [(r["us"], r["us"], 1) for r in islice(rows, CHUNK)]:
+            bursts = merged(bursts + chunk, self.gap_ms * 1000)
+        if not bursts:
+            return iter(())
+        wanted = self._closes(bursts[0][1])
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.bursts.put(bursts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        at = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         rest = []
         for first, last, n in (tuple(b) for b in self.bursts.get()):
             if self._closes(last) <= at:
@@ -61,6 +73,7 @@ class Bursts(StatefulProcessor):
                 rest.append((first, last, n))
         if rest:
             self.bursts.put(rest)
+            self.handle.registerTimer(self._closes(rest[0][1]))
         else:
             self.bursts.clear()
 

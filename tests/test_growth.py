@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from marlstone.operators import spatial
 from marlstone.plans.catalog import ORACLE, QUERIES
+from marlstone.plans.layouts import _grouped
+from marlstone.sources import row_groups, table
 from tests.compare import same
 
 
@@ -55,3 +58,15 @@ def test_distances_to_upper_case_are_those_of_levenshtein(spark, sf_dir, tmp_pat
 def test_a_type_has_one_sketch_and_a_pair_none(spark, sf_dir):
     text = plan(QUERIES["a3_approx_distinct_error"](spark, sf_dir))
     assert "approx_count_distinct" in text and not re.search(r"keys=\[event_type#\d+, user_id#\d+L?\], functions=\[[^\]]*approx", text)
+
+
+def test_many_small_groups_are_few_partitions(spark, sf_dir):
+    path = _grouped(spark, sf_dir, 1)
+    row_groups.register(spark)
+    schema = spark.read.format(row_groups.NAME).load(path).schema
+    reader = row_groups.RowGroupReader(path, schema)
+    parts = reader.partitions()
+    ids = [i for p in parts for batch in reader.read(p) for i in batch.column("event_id").to_pylist()]
+    assert sorted(ids) == [r[0] for r in table(spark, sf_dir, "events").select("event_id").orderBy("event_id").collect()]
+    assert len(parts) < 100 < len(ids)
+    assert max(pq.ParquetFile(p.path.removeprefix("file:")).num_row_groups for p in parts) <= 100  # each reader of a file reads the list of all its groups
