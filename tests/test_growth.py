@@ -12,6 +12,7 @@ from marlstone.operators import spatial
 from marlstone.plans.catalog import ORACLE, QUERIES
 from marlstone.plans.layouts import _grouped
 from marlstone.sources import row_groups, table
+from marlstone.streaming import idle
 from tests.compare import same
 
 
@@ -70,3 +71,39 @@ def test_many_small_groups_are_few_partitions(spark, sf_dir):
     assert sorted(ids) == [r[0] for r in table(spark, sf_dir, "events").select("event_id").orderBy("event_id").collect()]
     assert len(parts) < 100 < len(ids)
     assert max(pq.ParquetFile(p.path.removeprefix("file:")).num_row_groups for p in parts) <= 100  # each reader of a file reads the list of all its groups
+
+
+def test_chunks_of_rows_make_the_bursts_of_single_rows(monkeypatch):
+    """Any chunks give the bursts of gaps below the limit; a user has one timer, and what is closed leaves at once."""
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(idle, "CHUNK", 7)
+
+    class State(list):
+        def get(self):
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Timers(set):
+        registerTimer, deleteTimer = set.add, set.remove
+
+    class Now:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 400
+
+    r = random.Random(6)
+    times = [r.randint(0, 900_000) for _ in range(60)]
+    p, gap = idle.Bursts(10), 10_000
+    p.handle, p.bursts = Timers(), State()
+    for part in (times[:25], times[25:]):
+        assert list(p.handleInputRows((1,), iter([Row(us=t) for t in part]), None)) == []
+        assert len(p.handle) == 1
+    want = []
+    for t in sorted(times):
+        want = [*want[:-1], (want[-1][0], t, want[-1][2] + 1)] if want and t - want[-1][1] < gap else [*want, (t, t, 1)]
+    assert list(p.bursts) == want
+    p.handle.clear()  # the timer has fired
+    out = [(x["first"], x["last"], x["n"]) for x in p.handleExpiredTimer((1,), Now(), Now())]
+    assert out == [b for b in want if p._closes(b[1]) <= 400] and list(p.bursts) == want[len(out) :] and len(out) > 1
+    assert p.handle == {p._closes(want[len(out)][1])}
