@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, MinHashLSH, RegexTokenizer
+from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.set_join import similar_sets
 from ..operators.vector_lsh import lsh_top_k
-from ..sources import table
+from ..sources import kept, table
 from .registry import query
 from .relational import k2
 
@@ -57,25 +58,16 @@ def u1_table(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_a, doc_b, round(1 - shared / merged, 6) AS distance FROM p WHERE 10 * shared >= 7 * merged""",
 )
 def u2(spark: SparkSession, d: str) -> DataFrame:
-    """Near copies by MinHash over word sets, each different text once: pairs of a Jaccard distance up to 0.3.
+    """Near copies by their word sets, each different text once: all pairs of a Jaccard distance up to 0.3.
 
-    Candidates come from hashed words, within a wider distance; distances are those of
-    the words.  With 20 tables a pair at the limit is missed with a probability of 0.3 ** 20.
-    Texts without words have no pairs.
+    MinHash tables of one value each let nearly all texts of one language meet; candidates are now texts that share one of
+    their rarest words, which misses none, see ``similar_sets``. Texts without words have no pairs.
     """
-    docs = table(spark, d, "documents").where("length(trim(text)) > 0").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    texts = table(spark, d, "documents").where("text IS NOT NULL").join(docs.select("doc_id"), "doc_id")
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(texts.select("doc_id", "text")).where(F.size("words") > 0)
-    sets = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 18, binary=True).transform(words).select("doc_id", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=20, seed=42).fit(sets)
-    near = model.approxSimilarityJoin(sets, sets, 0.35, "hashed")
-    a, b = F.col("datasetA.doc_id"), F.col("datasetB.doc_id")
-    near = near.where(a < b).select(a.alias("doc_a"), b.alias("doc_b"))
-    bags = words.select("doc_id", F.array_distinct("words").alias("bag"))
-    left, right = bags.toDF("doc_a", "bag_a"), bags.toDF("doc_b", "bag_b")
-    both = F.size(F.array_intersect("bag_a", "bag_b"))
-    either = F.size("bag_a") + F.size("bag_b") - both
-    return near.join(left, "doc_a").join(right, "doc_b").where(both * 10 >= either * 7).select("doc_a", "doc_b", F.round(1 - both / either, 6).alias("distance"))
+    texts = table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(texts.select("doc_id", "text"))
+    bags = kept(words.select("doc_id", F.array_distinct("words").alias("bag")).where("doc_id IS NOT NULL AND size(bag) > 0"), "bags")
+    near = similar_sets(bags, "doc_id", "bag", 7)
+    return near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round(1 - F.col("shared") / F.col("merged"), 6).alias("distance"))
 
 
 @query(

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from marlstone.operators import spatial
+from marlstone.operators.set_join import similar_sets
 from marlstone.plans.catalog import ORACLE, QUERIES
 from marlstone.plans.layouts import _grouped
 from marlstone.sources import row_groups, table
@@ -107,3 +108,16 @@ def test_chunks_of_rows_make_the_bursts_of_single_rows(monkeypatch):
     out = [(x["first"], x["last"], x["n"]) for x in p.handleExpiredTimer((1,), Now(), Now())]
     assert out == [b for b in want if p._closes(b[1]) <= 400] and list(p.bursts) == want[len(out) :] and len(out) > 1
     assert p.handle == {p._closes(want[len(out)][1])}
+
+
+def test_all_pairs_of_like_sets_are_found_and_few_others_meet(spark, sf_dir):
+    r = random.Random(7)
+    sets = [r.sample([f"w{min(int(r.paretovariate(0.5)), 500)}" for _ in range(60)], r.randint(1, 40)) for _ in range(150)]
+    sets += [[*s[: max(1, len(s) - r.randint(0, 3))], f"new{k}"] for k, s in enumerate(sets[:80])] + [["x"], ["x"], [], [f"y{k}" for k in range(10)], [f"y{k}" for k in range(7)]]
+    sets = [sorted(set(s)) for s in sets]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, words array<string>")
+    for tenths in (7, 5, 10):
+        want = {(i, j, len(set(a) & set(b)), len(set(a) | set(b))) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 10 * len(set(a) & set(b)) >= tenths * len(set(a) | set(b))}
+        rows = [tuple(x) for x in similar_sets(df, "id", "words", tenths).collect()]
+        assert set(rows) == want and len(rows) == len(want) and want
+    assert "MinHash" not in (p := plan(QUERIES["u2_minhash_lsh"](spark, sf_dir))) and "NestedLoop" not in p and "UDF" not in p  # tables of one hash let nearly all texts meet
