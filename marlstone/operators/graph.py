@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import kept
+from .joins import small
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
     """``start, node, steps``: every node that paths from a start lead to, by the fewest edges; a start is its own node at 0 steps.
 
-    edges: ``src, dst``; starts: ``start``; nulls lead nowhere.  Semi-naive: a round joins
-    only the pairs that the last one found with the edges, and keeps those not seen
+    edges: ``src, dst``; starts: ``start``; nulls lead nowhere.  Up to 64 starts, near by id, are bits of a number, so
+    that those that lead to the same nodes go there together, a row for a node and not for each pair.  Semi-naive: a round joins
+    only the bits that the last one found with the edges, and keeps those not seen
     before, until there are none, so cycles end.  Rounds are as many as the longest of
-    the shortest paths; each is a table in the shared folder.
+    the shortest paths; each is a table in the shared folder.  Pairs are made of the bits at the end.
     """
     e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     e = kept(e, "edges")
-    fresh = kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("steps")).where("start IS NOT NULL").distinct(), "frontier")
-    seen, steps = [fresh], 0
+    dealt = starts.select("start").where("start IS NOT NULL").distinct().orderBy("start").withColumn("i", F.monotonically_increasing_id())
+    dealt = kept(dealt.selectExpr("start", "i DIV 64 AS block", "shiftleft(1L, CAST(i % 64 AS int)) AS bit"), "starts")
+    fresh = kept(dealt.select("block", F.col("start").alias("node"), F.col("bit").alias("bits")), "frontier")
+    seen, found, steps = fresh, [fresh.withColumn("steps", F.lit(0))], 0
     while fresh.take(1) and (most_steps is None or steps < most_steps):
         steps += 1
-        known = seen[0]
-        for more in seen[1:]:
-            known = known.unionByName(more)
-        reached = fresh.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        fresh = kept(reached.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("steps", F.lit(steps)), "frontier")
-        seen.append(fresh)
-        if len(seen) > 16:  # a union of few tables
-            whole = seen[0]
-            for more in seen[1:]:
-                whole = whole.unionByName(more)
-            seen = [kept(whole, "reached")]
-    out = seen[0]
-    for more in seen[1:]:
-        out = out.unionByName(more)
-    return out
+        reached = fresh.join(e, F.col("node") == F.col("src")).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("reached"))
+        new = F.col("reached").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0))))
+        fresh = kept(reached.join(seen, ["block", "node"], "left").select("block", "node", new.alias("bits")).where("bits <> 0"), "frontier")
+        seen = kept(seen.unionByName(fresh).groupBy("block", "node").agg(F.bit_or("bits").alias("bits")), "seen")
+        found.append(fresh.withColumn("steps", F.lit(steps)))
+        if len(found) > 16:  # a union of few tables
+            found = [kept(reduce(DataFrame.unionByName, found), "reached")]
+    return reduce(DataFrame.unionByName, found).join(small(dealt), "block").where("bits & bit <> 0").select("start", "node", "steps")

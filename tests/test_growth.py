@@ -8,7 +8,7 @@ import re
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from marlstone.operators import spatial
+from marlstone.operators import graph, spatial
 from marlstone.operators.set_join import similar_sets
 from marlstone.plans.catalog import ORACLE, QUERIES
 from marlstone.plans.layouts import _grouped
@@ -121,3 +121,22 @@ def test_all_pairs_of_like_sets_are_found_and_few_others_meet(spark, sf_dir):
         rows = [tuple(x) for x in similar_sets(df, "id", "words", tenths).collect()]
         assert set(rows) == want and len(rows) == len(want) and want
     assert "MinHash" not in (p := plan(QUERIES["u2_minhash_lsh"](spark, sf_dir))) and "NestedLoop" not in p and "UDF" not in p  # tables of one hash let nearly all texts meet
+
+
+def test_starts_go_together_through_a_graph(spark, monkeypatch):
+    """Of 200 starts into one ring a round keeps a row for 64 starts and a node, not one for each pair; bits of the last start of a block have a sign."""
+    edges = [(k, 1000) for k in range(200)] + [(1000 + k, 1000 + (k + 1) % 6) for k in range(6)]
+    kept, rows = graph.kept, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "frontier":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "kept", counted)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = graph.reachable(e, spark.createDataFrame([(k,) for k in range(200)], "start long").coalesce(1))
+    out = [(r["start"], r["node"], r["steps"]) for r in got.collect()]
+    assert sorted(out) == sorted([(k, k, 0) for k in range(200)] + [(k, 1000 + j, 1 + j) for k in range(200) for j in range(6)])
+    assert max(rows[1:]) <= 8
