@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import band, dot, iou, norm, vector_bytes
-from ..operators.joins import asof_join, band_join, few_copies, in_blocks, interval_join, null_equal, small
+from ..functions.geometry import band, iou, norm
+from ..operators.joins import asof_join, band_join, interval_join, null_equal, small
 from ..operators.ranking import top_k, vote
+from ..operators.vector_blocks import block_top_k
 from ..sources import csv_round_trip, json_round_trip, partitioned_sink, table
 from .registry import query
 
@@ -355,12 +354,11 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
     FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10""",
 )
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth vector against all others, queries in broadcast blocks of counted bytes. Map tasks keep ten rows a query, so pairs are not shuffled."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
-    pairs = [e.join(block, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("probe"), F.col("embedding")).alias("score")) for block in in_blocks(few_copies(q, 10), ["query_id", "probe"], vector_bytes(F.col("probe")))]
-    pairs = reduce(DataFrame.unionByName, pairs)
-    return top_k(pairs, ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    """Every fiftieth vector against all others, slices and blocks as matrices. A meeting keeps ten rows a query, so pairs are not shuffled."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = block_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 @query("o1_union_all", "SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")

@@ -140,3 +140,25 @@ def test_starts_go_together_through_a_graph(spark, monkeypatch):
     out = [(r["start"], r["node"], r["steps"]) for r in got.collect()]
     assert sorted(out) == sorted([(k, k, 0) for k in range(200)] + [(k, 1000 + j, 1 + j) for k in range(200) for j in range(6)])
     assert max(rows[1:]) <= 8
+
+
+def test_vectors_meet_as_matrices_with_the_rows_of_all_pairs(spark, sf_dir, monkeypatch, tmp_path):
+    """Slices and blocks of a few rows; copies, zeros, equal sums, odd vectors; and no fold runs over a pair."""
+    from marlstone.operators import vector_blocks
+
+    for name in ("k2_vector_topk",):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert "NestedLoop" not in text and "zip_with" not in text and "CoGroup" in text
+    monkeypatch.setattr(vector_blocks, "SLICE_BYTES", 600)
+    monkeypatch.setattr(vector_blocks, "QUERY_BYTES", 200)
+    monkeypatch.setattr(vector_blocks, "PAIRS", 40)
+    r = random.Random(8)
+    rows = [(k, [r.choice((0.1, 0.2, 0.3, -0.7)) for _ in range(5)]) for k in range(151)] + [(k, [0.3] * 5) for k in range(200, 260)] + [(300, [0.0] * 5), (350, [1.0] * 5), (350, [0.1, 0.7] * 2), (50, [0.3] * 5)] * 3
+    odd = [(400, None), (401, [1.0]), (402, [float("nan")] * 5), (403, [None, 1.0, 1.0, 1.0, 1.0]), (450, [float("inf")] * 5), (500, [2.0] * 6), (None, [9.0] * 5)]
+    for rest in ([], odd):
+        df = spark.createDataFrame(rows + rest, "id long, v array<float>")
+        asked = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+        pairs = asked.join(df, F.col("id") != F.col("query_id")).select("query_id", "id", vector_blocks.dot(F.col("q"), F.col("v")).alias("score"))
+        want = vector_blocks.top_k(pairs, ["query_id"], [F.desc("score"), F.col("id")], 10)
+        at = lambda x: sorted(str(tuple(y)) for y in x.select("query_id", "id", "rank", "score").collect())
+        assert at(vector_blocks.block_top_k(df, asked, 10)) == at(want)
