@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot, vector_bytes
-from .joins import few_copies, in_blocks
-from .ranking import top_k
+from ..sources import kept
+from .vector_blocks import block_top_k, differing  # noqa: F401
 
 
 def sketches(vector: Column, dimension: int, bits: int, seed: int) -> Column:
@@ -30,10 +27,6 @@ def sketches(vector: Column, dimension: int, bits: int, seed: int) -> Column:
     return code(vector)
 
 
-def differing(a: Column, b: Column, words: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(words)])
-
-
 def cut_off(base: DataFrame, queries: DataFrame, share: float, sample: int) -> int:
     """Differing bits up to which about ``share`` of all pairs lie, by ``sample`` rows of base and of queries at most."""
     some = lambda df, c: np.array([r[0] for r in df.where(F.col(c).isNotNull()).orderBy(F.xxhash64(c)).select(c).limit(sample).collect()], np.int64).view(np.uint64)
@@ -47,19 +40,17 @@ def cut_off(base: DataFrame, queries: DataFrame, share: float, sample: int) -> i
 def lsh_top_k(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, bits: int = 512, share: float = 0.15, sample: int = 1000, seed: int = 42) -> DataFrame:
     """``query_id, id_col, rank, score`` of the k best inner products among the rows whose sketch is near the query's.
 
-    All base rows are sketched and compared by bits, queries in blocks that are
-    broadcast; only pairs below a cut-off, about ``share`` of all, have their vectors
-    multiplied.  Map tasks keep k rows a query.  The cut-off comes from a bounded
+    All base rows are sketched and compared by bits, slices of them with blocks of queries; only pairs
+    below a cut-off, about ``share`` of all, count.  A block's products are one product of matrices, which costs less than
+    picking pairs for it, see ``block_top_k``.  The cut-off comes from a bounded
     sample; more bits give more recall at the same share.  Vectors that are null or
     of another length than the first match nothing.
     """
     one = base.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
     dimension = one[0] if one else 0
-    b = base.select(id_col, vector_col, sketches(F.col(vector_col), dimension, bits, seed).alias("__b"))
-    q = few_copies(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__probe")), k)
-    q = q.withColumn("__q", sketches(F.col("__probe"), dimension, bits, seed))
+    of_size = F.size(vector_col) == dimension
+    b = kept(base.where(of_size).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), sketches(F.col(vector_col), dimension, bits, seed).alias("__b")), "sketches")
+    q = kept(queries.where(of_size).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), sketches(F.col(vector_col), dimension, bits, seed).alias("__q")), "query-sketches")
     most = cut_off(b, q, share, sample)
-    near = (F.col(id_col) != F.col("query_id")) & (differing(F.col("__q"), F.col("__b"), bits // 64) <= most)
-    pairs = reduce(DataFrame.unionByName, [b.join(block, near).select("query_id", id_col, "__probe", vector_col) for block in in_blocks(q, ["query_id", "__probe"], vector_bytes(F.col("__probe")) + bits // 8)])
-    scored = pairs.select("query_id", id_col, dot(F.col("__probe"), F.col(vector_col)).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col(id_col)], k).select("query_id", id_col, "rank", F.round("score", 6).alias("score"))
+    found = block_top_k(b, q, k, bits, most, dimension)
+    return found.select("query_id", F.col("id").alias(id_col), "rank", F.round("score", 6).alias("score"))
