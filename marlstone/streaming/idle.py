@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -81,12 +82,68 @@ class Bursts(StatefulProcessor):
         pass
 
 
+#: Groups of users that share a state and a timer. Every group costs some calls to the state a batch, a user none.
+GROUPS = 1024
+
+
+class SharedBursts(Bursts):
+    """As ``Bursts``, for the users of a group: their open bursts lie in one list, with one timer for the burst that closes first.
+
+    Rows are merged so many at a time as bursts are held, ``CHUNK`` at least, so that each is merged again only a few times.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bursts = handle.getListState("bursts", "user_id long, first long, last long, n long")
+
+    def _first(self, bursts: list[tuple]) -> int | None:
+        return self._closes(min(b[2] for b in bursts)) if bursts else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = [tuple(b) for b in self.bursts.get()]
+        timer, users, held = self._first(before), defaultdict(list), len(before)
+        for user, *burst in before:
+            users[user].append(tuple(burst))
+        while chunk := [(r["user_id"], r["us"]) for r in islice(rows, max(CHUNK, held))]:
+            fresh = defaultdict(list)
+            for user, us in chunk:
+                fresh[user].append((us, us, 1))
+            for user, some in fresh.items():
+                users[user] = merged(users[user] + some, self.gap_ms * 1000)
+            held = sum(map(len, users.values()))
+        after = [(user, *b) for user, some in users.items() for b in some]
+        if not after:
+            return iter(())
+        wanted = self._first(after)
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.bursts.put(after)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        rest = []
+        for user, first, last, n in (tuple(b) for b in self.bursts.get()):
+            if self._closes(last) <= at:
+                yield Row(user_id=user, first=first, last=last, n=n)
+            else:
+                rest.append((user, first, last, n))
+        if rest:
+            self.bursts.put(rest)
+            self.handle.registerTimer(self._first(rest))
+        else:
+            self.bursts.clear()
+
+
 def bursts(events: DataFrame, gap_ms: int) -> DataFrame:
     """``BURST`` of every burst that the watermark has closed: events of a user less than the gap apart.
 
     events: ``user_id, ts`` with a watermark on ``ts``.  Rows without a time are left
     out.  Run it within ``rocks_db``.
     """
-    slim = events.where("ts IS NOT NULL").select("user_id", "ts", F.unix_micros("ts").alias("us"))
-    out = slim.groupBy("user_id").transformWithState(Bursts(gap_ms), "user_id long, first long, last long, n long", "append", "EventTime")
+    group = F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("users")
+    slim = events.where("ts IS NOT NULL").select(group, "user_id", "ts", F.unix_micros("ts").alias("us"))
+    out = slim.groupBy("users").transformWithState(SharedBursts(gap_ms), "user_id long, first long, last long, n long", "append", "EventTime")
     return out.select("user_id", F.timestamp_micros("first").alias("began"), F.timestamp_micros("last").alias("ended"), "n")

@@ -184,3 +184,43 @@ def test_texts_are_ranked_without_shuffling_postings(spark, sf_dir, monkeypatch)
     monkeypatch.undo()
     assert at(text_ranking.ranked(docs.limit(0), "doc_id", "text", items, "item_id", "text", 7)) == []
     assert at(text_ranking.ranked(docs, "doc_id", "text", items.limit(0), "item_id", "text", 7)) == []
+
+
+def test_users_of_a_group_share_state_and_timer(monkeypatch):
+    """Calls to the state follow groups, not users; every user has the bursts that a state of its own gives."""
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(idle, "CHUNK", 7)
+
+    class State(list):
+        calls = 0
+
+        def get(self):
+            self.calls += 1
+            return iter(list(self))
+
+        def put(self, rows):
+            self.calls += 1
+            self[:] = rows
+
+    class Timers(set):
+        registerTimer, deleteTimer = set.add, set.remove
+
+    class Now:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 400
+
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(20)]), r.randint(0, 900_000)) for _ in range(300)]
+    p = idle.SharedBursts(10)
+    p.handle, p.bursts = Timers(), State()
+    for part in (rows[:125], rows[125:]):
+        assert list(p.handleInputRows((1,), iter([Row(user_id=u, us=t) for u, t in part]), None)) == []
+        assert len(p.handle) == 1
+    assert p.bursts.calls == 4
+    want = [(u, *b) for u in {u for u, _ in rows} for b in idle.merged([(t, t, 1) for v, t in rows if v == u], 10_000)]
+    assert sorted(map(str, p.bursts)) == sorted(map(str, want))
+    p.handle.clear()  # the timer has fired
+    out = [(x["user_id"], x["first"], x["last"], x["n"]) for x in p.handleExpiredTimer((1,), Now(), Now())]
+    rest = [b for b in want if p._closes(b[2]) > 400]
+    assert sorted(map(str, out)) == sorted(str(b) for b in want if b not in rest) and sorted(map(str, p.bursts)) == sorted(map(str, rest)) and out
+    assert p.handle == {min(p._closes(b[2]) for b in rest)}
