@@ -7,6 +7,7 @@ from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
 from ..operators.set_join import similar_sets
 from ..operators.vector_lsh import lsh_top_k
 from ..sources import kept, table
@@ -60,12 +61,18 @@ def u1_table(spark: SparkSession, d: str) -> DataFrame:
 def u2(spark: SparkSession, d: str) -> DataFrame:
     """Near copies by their word sets, each different text once: all pairs of a Jaccard distance up to 0.3.
 
-    MinHash tables of one value each let nearly all texts of one language meet; candidates are now texts that share one of
-    their rarest words, which misses none, see ``similar_sets``. Texts without words have no pairs.
+    Candidates are texts that share several of their rarest words, which misses none, see ``similar_sets``. Texts are told apart
+    by digests and stay where they are read. Texts without words have no pairs.
     """
-    texts = table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("h"))
+    seen = kept(docs.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n")), "digests")
+    firsts = seen.groupBy("h").agg(F.min("doc_id").alias("first"))
+    others = kept(seen.join(firsts, "h").where("doc_id <> first").select("h", "doc_id"), "copies")
+    texts = docs.join(small(others, 1_000_000), ["h", "doc_id"], "left_anti")
+    if seen.where("n > 1").limit(1).count():  # rows that are repeated with their ids
+        texts = texts.dropDuplicates(["h", "doc_id"])
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(texts.select("doc_id", "text"))
-    bags = kept(words.select("doc_id", F.array_distinct("words").alias("bag")).where("doc_id IS NOT NULL AND size(bag) > 0"), "bags")
+    bags = kept(words.select("doc_id", F.array_distinct("words").alias("bag")).where(F.size("bag") > 0), "bags")
     near = similar_sets(bags, "doc_id", "bag", 7)
     return near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round(1 - F.col("shared") / F.col("merged"), 6).alias("distance"))
 

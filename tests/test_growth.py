@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, spatial
+from marlstone.operators import graph, set_join, spatial
 from marlstone.operators.set_join import similar_sets
+from marlstone.plans import extensions
 from marlstone.plans.catalog import ORACLE, QUERIES
 from marlstone.plans.layouts import _grouped
 from marlstone.sources import row_groups, table
@@ -224,3 +226,39 @@ def test_users_of_a_group_share_state_and_timer(monkeypatch):
     rest = [b for b in want if p._closes(b[2]) > 400]
     assert sorted(map(str, out)) == sorted(str(b) for b in want if b not in rest) and sorted(map(str, p.bursts)) == sorted(map(str, rest)) and out
     assert p.handle == {min(p._closes(b[2]) for b in rest)}
+
+
+def test_sets_that_share_a_rare_member_are_not_compared(spark, monkeypatch):
+    """Whole sets travel only with pairs that share many of their rarest members; pairs just at the limit are among them, those just below are not returned."""
+    r, tables = random.Random(11), {}
+    kept = getattr(set_join, "kept", None)
+
+    def noted(df, name):
+        tables[name] = kept(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(set_join, "kept", noted, raising=False)
+    pairs = list(itertools.combinations(range(40), 2))
+    sets = [{f"met{k}" for k, p in enumerate(pairs) if i in p} | {f"own{i}-{k}" for k in range(150)} for i in range(40)]  # each two share one rare member
+    for n, m, common in ((170, 170, 140), (170, 170, 139), (140, 200, 140), (140, 201, 140), (340, 340, 280), (340, 340, 279)):
+        whole = [f"s{len(sets)}-{k}" for k in range(n + m - common)]
+        r.shuffle(whole)
+        sets += [set(whole[:n]), set(whole[n - common :])]
+    sets = [sorted(s) for s in sets]
+    got = set_join.similar_sets(spark.createDataFrame(list(enumerate(sets)), "id long, words array<string>"), "id", "words", 7).collect()
+    want = {(i, j, len(set(a) & set(b)), len(set(a) | set(b))) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 10 * len(set(a) & set(b)) >= 7 * len(set(a) | set(b))}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) == 3
+    assert tables["pairs"].count() <= 6 < len(pairs)
+
+
+def test_near_copies_leave_texts_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Copies and rows that are repeated with their ids count once; no text is shuffled to find that out."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:50])), (2, " ".join(words[:50])), (None, " ".join(words[:55])), (3, None), (4, " "), (5, " ".join(words[:30]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, kept = {}, extensions.kept
+    monkeypatch.setattr(extensions, "kept", lambda df, name: (plans.update({name: plan(df)}), kept(df, name))[1])
+    assert [tuple(x) for x in QUERIES["u2_minhash_lsh"](spark, str(tmp_path)).collect()] == [(0, 2, round(1 - 50 / 60, 6))]
+    spark.createDataFrame([x for k, x in enumerate(rows) if k != 3], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["u2_minhash_lsh"](spark, str(tmp_path)).count() == 1
+    assert "Exchange hashpartitioning" not in plans["bags"]
