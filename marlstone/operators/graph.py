@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..sources import kept
 from .joins import small
 
+#: Numbers of 64 bits in a row of ``led_to``, a bit a start; edges that a round follows.
+WORDS, HOPS = 4, 2
+
 
 def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
     """``start, node, steps``: every node that paths from a start lead to, by the fewest edges; a start is its own node at 0 steps.
@@ -36,3 +39,30 @@ def reachable(edges: DataFrame, starts: DataFrame, most_steps: int | None = None
         if len(found) > 16:  # a union of few tables
             found = [kept(reduce(DataFrame.unionByName, found), "reached")]
     return reduce(DataFrame.unionByName, found).join(small(dealt), "block").where("bits & bit <> 0").select("start", "node", "steps")
+
+
+def led_to(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, node``: the pairs of ``reachable`` without their steps, in fewer and shorter rounds.
+
+    A round follows ``HOPS`` edges: bits that the last one found go to the next nodes, and from there on, staying too, as nodes
+    lead to themselves. What was seen and what came meet once, in one table a round, where what is new is told from the rest.
+    """
+    e = kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    stay = kept(e.unionByName(e.select(F.col("dst").alias("src"), "dst").distinct()), "edges-and-nodes")
+    dealt = starts.select("start").where("start IS NOT NULL").distinct().orderBy("start").withColumn("i", F.monotonically_increasing_id())
+    dealt = kept(dealt.selectExpr("start", f"i DIV {64 * WORDS} AS block", f"CAST(i DIV 64 % {WORDS} AS int) AS word", "shiftleft(1L, CAST(i % 64 AS int)) AS bit"), "starts")
+    words = range(WORDS)
+    some = " OR ".join(f"new{w} <> 0" for w in words)
+    state = kept(dealt.selectExpr("block", "start AS node", *(f"IF(word = {w}, bit, 0L) AS {k}{w}" for k in ("seen", "new") for w in words)), "reached")
+    while state.where(some).take(1):
+        sent = state.where(some).select("block", "node", *(f"new{w}" for w in words))
+        for hop in range(HOPS):
+            if hop:
+                sent = sent.groupBy("block", "node").agg(*(F.bit_or(f"new{w}").alias(f"new{w}") for w in words))
+            sent = sent.join(stay if hop else e, F.col("node") == F.col("src")).select("block", F.col("dst").alias("node"), *(f"new{w}" for w in words))
+        held = state.selectExpr("block", "node", *(f"seen{w}" for w in words), *(f"0L AS new{w}" for w in words))
+        came = sent.selectExpr("block", "node", *(f"0L AS seen{w}" for w in words), *(f"new{w}" for w in words))
+        met = held.unionByName(came).groupBy("block", "node").agg(*(F.bit_or(f"{k}{w}").alias(f"{k}{w}") for k in ("seen", "new") for w in words))
+        state = kept(met.selectExpr("block", "node", *(f"seen{w} | new{w} AS seen{w}" for w in words), *(f"new{w} & ~seen{w} AS new{w}" for w in words)), "reached")
+    own = "CASE word " + " ".join(f"WHEN {w} THEN seen{w}" for w in words) + " END"
+    return state.join(small(dealt), "block").where(f"{own} & bit <> 0").select("start", "node")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detection import average_precision
-from ..operators.graph import reachable
+from ..operators.graph import led_to
 from ..operators.patterns import sequences
 from ..operators.sketches import distinct_values, least_hashes, log_histogram, quantiles
 from ..operators.spatial import contains_join
@@ -75,7 +75,7 @@ def o4_traversal(spark: SparkSession, d: str) -> DataFrame:
     first = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1).alias("k"))
     edges = first.join(o.select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("k")), "k").select("src", "dst")
     starts = table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("start"))
-    return reachable(edges, starts).select("start", "node")
+    return led_to(edges, starts)
 
 
 _K = 64

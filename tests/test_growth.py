@@ -262,3 +262,17 @@ def test_near_copies_leave_texts_where_they_are_read(spark, tmp_path, monkeypatc
     spark.createDataFrame([x for k, x in enumerate(rows) if k != 3], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["u2_minhash_lsh"](spark, str(tmp_path)).count() == 1
     assert "Exchange hashpartitioning" not in plans["bags"]
+
+
+def test_a_round_of_the_traversal_follows_two_edges_and_writes_one_table(spark, monkeypatch):
+    """600 starts lead into a path that ends in a ring; pairs are those of ``reachable``, of which each round writes two tables an edge."""
+    kept, tables = graph.kept, []
+    monkeypatch.setattr(graph, "kept", lambda df, name: (tables.append(name), kept(df, name))[1])
+    edges = [(k, 1000 + k % 2) for k in range(600)] + [(1000 + k, 1001 + k) for k in range(12)] + [(1012, 1009), (1005, 1005), (None, 1), (1, None), (2000, 2001)]
+    e, s = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(k,) for k in [*range(600), 2000, 3000, 5, None]], "start long").coalesce(1)
+    got = [tuple(x) for x in graph.led_to(e, s).collect()]
+    want = {(k, n) for k in range(600) for n in [k, *range(1000 + k % 2, 1013)]} | {(2000, 2000), (2000, 2001), (3000, 3000)}
+    assert len(got) == len(want) and set(got) == want
+    assert tables.count("reached") <= 2 + 14 // 2 and len(tables) == 3 + tables.count("reached")
+    assert set(got) == {(x["start"], x["node"]) for x in graph.reachable(e, s).collect()}
+    assert graph.led_to(e.limit(0), s).count() == 602 and graph.led_to(e, s.limit(0)).count() == 0
